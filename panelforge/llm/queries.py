@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fm_index, suffix, topk
+from . import bpe, chat, fm_index, fragments, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragments.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op4_suffix": op4_suffix,
+    "op6_fragments": op6_fragments,
     "op7_fm_index": op7_fm_index,
     "op8_chat": op8_chat,
     "op10_bpe": op10_bpe,
@@ -59,6 +64,23 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 10
     """,
+    "op6_fragments": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w
+        ), e AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+        ), l AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 180 * count(*) >= 80 * (a.n + b.n)
+        ), r AS (
+            SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+        )
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.m, s.doc_id)) AS component_id
+        FROM s LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) m ON m.a = s.doc_id
+    """,
     "op8_chat": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
