@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fm_index, fragments, suffix, topk
+from . import bpe, chat, fm_index, fragments, suffix, tiling, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fragments": op6_fragments,
     "op7_fm_index": op7_fm_index,
     "op8_chat": op8_chat,
+    "op9_tiling": op9_tiling,
     "op10_bpe": op10_bpe,
 }
 

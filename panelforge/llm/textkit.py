@@ -20,6 +20,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A-Z to a-z, other bytes unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes that part words where punctuation counts as white space: all ASCII but letters and digits.
+MARKS = np.ones(256, bool)
+MARKS[128:] = MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = False
 #: A random odd number for each byte value, and the base of the rolling names with its inverse modulo 2**64.
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -75,13 +78,13 @@ def pieces(buf: np.ndarray, off: np.ndarray, limit: int = PIECE) -> Iterator[tup
         at = to
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the number of words before each document (one more at the end)."""
+def words(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the number of words before each document (one more at the end); space: the bytes that part words."""
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     solid = np.zeros(n + 2, bool)
-    solid[1:-1] = ~SPACE[buf]
+    solid[1:-1] = ~space[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
@@ -89,6 +92,15 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off)
 
 
+def folded(buf: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and for the letters of Latin-1, which UTF-8 writes as 0xC3 and a byte; lengths stay."""
+    low = LOWER[buf]
+    if len(buf) > 1:
+        cap = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+        low[1:][cap] += 32
+    return low
+
+
 def prefix(buf: np.ndarray) -> np.ndarray:
     """Running sums from which name() takes the name of any span."""
     c = np.zeros(len(buf) + 1, U64)
