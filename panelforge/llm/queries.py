@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, fm_index, fragments, suffix, tiling, topk
+from . import bpe, chat, fm_index, fragments, quality, suffix, tiling, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _fold(folds: int) -> Column:
+    """The fold of a document: crc32 of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(_fold(3) != 1).select("doc_id", F.col("quality").alias("label"))
+    scores = quality.scored(_table(spark, sf_dir, "documents"), labels)
+    return scores.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -31,6 +43,13 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(_fold(4) != 2).select("doc_id", F.col("toxic").alias("label"))
+    scores = toxicity.score(docs, toxicity.train(docs, labels))
+    return scores.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragments.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -46,8 +65,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_topk": op2_topk,
     "op4_suffix": op4_suffix,
+    "op5_toxicity": op5_toxicity,
     "op6_fragments": op6_fragments,
     "op7_fm_index": op7_fm_index,
     "op8_chat": op8_chat,
