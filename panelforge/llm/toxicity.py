@@ -126,8 +126,7 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30, trust: f
     # voters that agree with each other passes for the class
     root = np.arange(m)
     linked = np.zeros((m, m), bool)
-    sure = seen if seen.sum() >= 50 else np.ones(n, bool)
-    for w in (p * sure, (1 - p) * sure):
+    for w in (start * seen, (1 - start) * seen) if seen.sum() >= 50 else (p, 1 - p):
         total = max(w.sum(), 1e-9)
         mean = (w @ votes) / total
         centred = votes - mean
