@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fm_index, fragments, quality, suffix, tiling, topk, toxicity
+from . import bpe, chat, crossent, fm_index, fragments, quality, suffix, tiling, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op3_crossent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return crossent.score(_table(spark, sf_dir, "documents"), target)
+
+
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_topk": op2_topk,
+    "op3_crossent": op3_crossent,
     "op4_suffix": op4_suffix,
     "op5_toxicity": op5_toxicity,
     "op6_fragments": op6_fragments,
