@@ -29,6 +29,7 @@ from .components import components
 #: Nodes in a cell, fragments of the global order, counters of the sketch.
 CELL, FRAGMENTS, SKETCH = 1024, 4, 1 << 22
 _SLICES = 64
+_SHORT, _MOST = np.uint64(2**40 - 1), 2**16 - 1
 
 
 def sets(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +101,10 @@ def rarity(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, p: shards.Plan, classes, n: int, percent: int) -> DataFrame:
-    """(bucket, payload): the first n-grams of each set in the global order, by n-gram; with sets' names and sizes."""
+    """(bucket, payload): the first n-grams of each set in the global order, by n-gram; with sets' names and sizes.
+
+    Five bytes of an n-gram's name and sizes up to _MOST do here: they can but add candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = classes.value
@@ -117,15 +121,14 @@ def prefixes(docs: DataFrame, p: shards.Plan, classes, n: int, percent: int) ->
             start = np.cumsum(size) - size
             take = size - need(size, percent) + 1
             g, row = g[order][K.spans(start, take)], np.repeat(np.arange(len(rows)), take)
-            bucket = ((g >> np.uint64(22)) % np.uint64(p.buckets)).astype(np.int64)
-            order = np.argsort(bucket * (len(rows) + 1) + row, kind="stable")
+            bucket = ((g >> np.uint64(40)) % np.uint64(p.buckets)).astype(np.int64)
+            order = np.lexsort((g & _SHORT, bucket))
             g, row, bucket = g[order], row[order], bucket[order]
+            small = np.minimum(size, _MOST).astype(np.uint16)
             cut, out = K.runs(bucket), []
             for i, j in zip(cut[:-1], cut[1:], strict=True):
-                at = K.runs(row[i:j])
-                who = row[i:j][at[:-1]]
-                head = K.pack(digest=digest[who], size=size[who].astype(np.uint32), count=np.diff(at).astype(np.uint32))
-                out.append(np.int64(len(head)).tobytes() + head + K.pack(g=g[i:j]))
+                short = np.ascontiguousarray(g[i:j].view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").ravel()
+                out.append(K.pack(g=short, digest=digest[row[i:j]], size=small[row[i:j]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int32()), pa.array(out, pa.binary())], ["bucket", "payload"])
 
@@ -140,13 +143,10 @@ def candidates(prefixed: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        parts = []
-        for x in table["payload"]:
-            x = x.as_buffer()
-            head = int(np.frombuffer(x, np.int64, 1)[0])
-            digest, size, count = K.unpack(x.slice(8, head), [np.uint64, np.uint32, np.uint32])
-            parts.append((K.unpack(x.slice(8 + head), [np.uint64])[0], np.repeat(digest, count), np.repeat(size, count)))
-        g, digest, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        short, digest, size = K.unpack_all(table["payload"], ["V5", np.uint64, np.uint16])
+        wide = np.zeros((len(short), 8), np.uint8)
+        wide[:, :5] = short.view(np.uint8).reshape(-1, 5)
+        g = wide.view(np.uint64).ravel()
         order = np.argsort(g, kind="stable")
         g, digest, size = g[order], digest[order], size[order]
         same = np.zeros(len(g), bool)
@@ -273,18 +273,20 @@ def links(cells: DataFrame, percent: int, cuts: np.ndarray, share) -> DataFrame:
             x = np.zeros((n, width), np.float32)
             x[who[i:j], g[i:j] - lo] = 1
             total += x[:n0] @ x.T
-        at = np.flatnonzero(total.ravel())
-        return pa.table({"cell": table["cell"][:1], "head": pa.array([K.pack(side=side, node=node, size=size)], pa.binary()), "payload": pa.array([K.pack(at=at.astype(np.uint32), count=total.ravel()[at].astype(np.uint32))], pa.binary())})
+        # counts of a cell's pairs, the same pair from either side once
+        total = total.astype(np.uint32)
+        total[:, :n0] = np.triu(total[:, :n0], 1)
+        raw = np.ascontiguousarray(total).tobytes()
+        return pa.table({"cell": table["cell"][:1], "head": pa.array([K.pack(side=side, node=node, size=size)], pa.binary()), "payload": pa.array([pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)], pa.binary())})
 
     def decide(table: pa.Table) -> pa.Table:
         side, node, size = K.unpack(table["head"][0].as_buffer(), [np.int64] * 3)
         n0, n = int((side == 0).sum()), len(node)
-        total = np.zeros(n0 * n, np.int64)
+        total, codec = np.zeros(n0 * n, np.int64), pa.Codec("zstd")
         for x in table["payload"]:
-            at, count = K.unpack(x.as_buffer(), [np.uint32, np.uint32])
-            total[at] += count
+            total += np.frombuffer(codec.decompress(x.as_buffer(), 4 * n0 * n), np.uint32)
         total = total.reshape(n0, n)
-        a, b = np.nonzero((100 + percent) * total >= percent * (size[:n0, None] + size[None, :]))
+        a, b = np.nonzero((total > 0) & ((100 + percent) * total >= percent * (size[:n0, None] + size[None, :])))
         root = np.arange(n)
         out = []
         for i, j in zip(a.tolist(), b.tolist(), strict=True):

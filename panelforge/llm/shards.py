@@ -40,13 +40,20 @@ SEGMENT = 8 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that all machines share, so that a lost executor loses none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, from spark.checkpoint.dir; a temporary one in local mode if that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelforge-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, so that a lost executor loses none."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -276,7 +283,7 @@ def replies(surveyed: DataFrame, across_documents: bool) -> DataFrame:
         out = [K.pack(content=content[q], total=np.minimum(total[of[q]], 2**31).astype(np.uint32), doc=first[of[q]], flag=flag[q].astype(np.uint8)) for i, j in zip(cut[:-1], cut[1:], strict=True) for q in [keep[i:j]]]
         return pa.table({"block": pa.array(block[keep][cut[:-1]], pa.int32()), "payload": pa.array(out, pa.binary())})
 
-    return surveyed.groupBy("bucket").applyInArrow(lambda t: run(t) if t.num_rows else run(t), "block int, payload binary")
+    return surveyed.groupBy("bucket").applyInArrow(run, "block int, payload binary")
 
 
 def replied(payloads) -> tuple[np.ndarray, ...]:
@@ -396,6 +403,3 @@ def repeated(docs: DataFrame, w: Windows, across_documents: bool, compare: Calla
 
     return parcels.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(run, schema)
 
-
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession

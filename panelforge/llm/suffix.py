@@ -70,11 +70,11 @@ def compare(width: int, reach: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
     """Removes every byte under a string of `width` bytes that also starts anywhere else, in any document.
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and with keep the kept
-    bytes.  A null text is empty; a null doc_id stays null; repeated rows are copies of each other and so lose
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; with keep "bytes" also the
+    kept bytes, with "text" a text of them, in which what is left of a character cut in two is dropped.  A null text is empty; a null doc_id stays null; repeated rows are copies of each other and so lose
     all bytes if there are `width` of them; strings that overlap count; texts shorter than `width` stay.
     Strings are compared by 64-bit names of `gram` bytes.
     """
@@ -92,6 +92,10 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 100, id_col: str
         kept, cut = memoryview(buf[~gone]), (off - lost[off]).tolist()
         parts = [kept[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
         columns = {"doc_id": shards.ids_back(ids), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(lost[off])), "n_spans": pa.array(np.diff(spans[off])), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())}
-        return pa.table(columns | ({"kept": pa.array([bytes(x) for x in parts], pa.binary())} if keep else {}))
+        if keep == "bytes":
+            columns["kept"] = pa.array([bytes(x) for x in parts], pa.binary())
+        elif keep:
+            columns["text"] = pa.array([bytes(x).decode("utf-8", "ignore") for x in parts], pa.string())
+        return pa.table(columns)
 
-    return shards.repeated(shards.documents(docs, id_col, text_col), w, False, compare(width, gram), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep else ""))
+    return shards.repeated(shards.documents(docs, id_col, text_col), w, False, compare(width, gram), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {None: "", "bytes": ", kept binary", "text": ", text string"}[keep])

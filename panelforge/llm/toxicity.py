@@ -271,3 +271,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rate(*K.flat(batch.column(1))))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: Model, below: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score less than `below`."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = model.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array(rate(*K.flat(batch.column(at))) < below))
+
+    return docs.mapInArrow(run, docs.schema)
