@@ -1,13 +1,41 @@
-"""Connected components by alternating large-star and small-star steps, all in DataFrames."""
+"""Connected components: alternating large-star and small-star steps in DataFrames, or one task while the edges are few."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shards import durable
 
 
+#: Up to so many edges (16 bytes each) one task does them all; beyond, rounds over the cluster do.
+FEW = 1 << 20
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(np.array(b.column(0), np.int64), np.array(b.column(1), np.int64)) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, x, y = np.arange(len(node)), at[: len(a)], at[len(a) :]
+    # the smaller root takes the larger one until no edge joins two roots
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        open_ = low < high
+        if not open_.any():
+            break
+        x, y = x[open_], y[open_]
+        np.minimum.at(root, high[open_], low[open_])
+        while (root != root[root]).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], ["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): label is the component's smallest node.
 
@@ -16,6 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
     the shared folder.
     """
     now = durable(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if now.count() <= FEW:
+        return durable(now.coalesce(1).mapInArrow(_union, "node long, label long"))
     last = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

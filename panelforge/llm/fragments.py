@@ -342,7 +342,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     found = shards.durable(links(small.select(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(many))).alias("cell"), F.lit(0).alias("side"), "node", "size", "payload"), percent, cuts, position))
     if not large.isEmpty():
         found = found.unionByName(_large(nodes.join(large, "cluster", "left_semi"), percent, cuts, position))
-    rows = described(docs, n)
+    rows = shards.durable(described(docs, n))
     least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     label = components(found)
     of = label.join(least, "node").groupBy("label").agg(F.min("least").alias("of"))

@@ -77,8 +77,20 @@ def test_empty(spark):
     assert sorted(tuple(x) for x in fragments.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    from panelforge.llm import components as module
+
+    monkeypatch.setattr(module, "FEW", few)
     edges = [(1, 2), (2, 3), (3, 1), (7, 7), (10, 11), (12, 11), (12, 13), (13, 14), (-5, 14), (None, 3)]
     got = {tuple(x) for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (10, -5), (11, -5), (12, -5), (13, -5), (14, -5), (-5, -5)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {tuple(x) for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(x, y) for x, y in root.items() if any(a != b and x in (a, b) for a, b in edges)}
