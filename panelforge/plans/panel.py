@@ -22,6 +22,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def nullable(prices: DataFrame) -> DataFrame:
+    """Volumes as doubles, which every engine can hand over with nulls."""
+    return prices.withColumn("volume", F.col("volume").cast("double"))
+
+
 def query(name: str, oracle: str | None = None, digits: int | None = 6):
     def add(f):
         QUERIES[name] = (lambda s, d: rounded(f(s, d), digits)) if digits is not None else f
@@ -41,6 +46,7 @@ def monthly(s: SparkSession, d: str) -> DataFrame:
 
 
 WEEK, MONTH = S.orders("week"), S.nations("month")
+NULLABLE = "date, ticker, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume::DOUBLE AS volume"
 BAR = "date, ticker, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume::BIGINT AS volume"
 
 
@@ -70,22 +76,22 @@ _GRID = "grid AS (SELECT days.date, t.ticker, open, high, low, close, volume FRO
 _DAILY = (S.orders("day"), S.days(), _GRID)
 
 
-@query("calendar_reindex", S.build(*_DAILY, select=f"SELECT {BAR} FROM grid"))
+@query("calendar_reindex", S.build(*_DAILY, select=f"SELECT {NULLABLE} FROM grid"))
 def _(s, d):
-    return cleaning.calendar_reindex(B.order_bars(s, d, "day"))
+    return nullable(cleaning.calendar_reindex(B.order_bars(s, d, "day")))
 
 
-@query("bounded_ffill", S.build(*_DAILY, f"filled AS ({S.fill('grid', 3)})", select=f"SELECT {BAR} FROM filled"))
+@query("bounded_ffill", S.build(*_DAILY, f"filled AS ({S.fill('grid', 3)})", select=f"SELECT {NULLABLE} FROM filled"))
 def _(s, d):
-    return cleaning.bounded_ffill(cleaning.calendar_reindex(B.order_bars(s, d, "day")))
+    return nullable(cleaning.bounded_ffill(cleaning.calendar_reindex(B.order_bars(s, d, "day"))))
 
 
 _FILLED = f"filled AS (SELECT * FROM ({S.fill('grid', 3)}) WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL)"
 
 
-@query("fill_and_drop", S.build(*_DAILY, _FILLED, select=f"SELECT {BAR} FROM filled"))
+@query("fill_and_drop", S.build(*_DAILY, _FILLED, select=f"SELECT {NULLABLE} FROM filled"))
 def _(s, d):
-    return cleaning.fill_and_drop(cleaning.calendar_reindex(B.order_bars(s, d, "day")))
+    return nullable(cleaning.fill_and_drop(cleaning.calendar_reindex(B.order_bars(s, d, "day"))))
 
 
 @query("fill_counts", S.build(*_DAILY, select="SELECT ticker, count(*) FILTER (close IS NULL AND now IS NOT NULL) AS fills FROM (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS now FROM grid) GROUP BY ticker"))
@@ -93,9 +99,9 @@ def _(s, d):
     return cleaning.fill_counts(cleaning.calendar_reindex(B.order_bars(s, d, "day")))
 
 
-@query("drop_invalid_prices", S.build(WEEK, S.DIRTY, select="SELECT date, ticker, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, CASE WHEN volume >= 0 THEN volume END AS volume FROM dirty WHERE least(open, high, low, close) > 0 AND high >= low"))
+@query("drop_invalid_prices", S.build(WEEK, S.DIRTY, select="SELECT date, ticker, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, CASE WHEN volume >= 0 THEN volume::DOUBLE END AS volume FROM dirty WHERE least(open, high, low, close) > 0 AND high >= low"))
 def _(s, d):
-    return cleaning.drop_invalid_prices(B.dirty_bars(B.order_bars(s, d, "week")))
+    return nullable(cleaning.drop_invalid_prices(B.dirty_bars(B.order_bars(s, d, "week"))))
 
 
 _SHARE = "share AS (SELECT ticker, count(*) AS n_rows, count(*)::DOUBLE / (SELECT count(*) FROM days) AS coverage FROM bars GROUP BY ticker)"
@@ -119,9 +125,9 @@ def _(s, d):
 _CLEAN = (S.orders("day"), S.days(), _GRID, _FILLED, "good AS (SELECT * FROM filled WHERE least(open, high, low, close) > 0 AND high >= low)", S.days(name="left_days", source="good"), "final AS (SELECT * FROM good WHERE ticker IN (SELECT ticker FROM good GROUP BY ticker HAVING count(*)::DOUBLE / (SELECT count(*) FROM left_days) >= 0.8 AND count(*) >= 2))")
 
 
-@query("clean_prices", S.build(*_CLEAN, select=f"SELECT {BAR} FROM final"))
+@query("clean_prices", S.build(*_CLEAN, select=f"SELECT {NULLABLE} FROM final"))
 def _(s, d):
-    return cleaning.clean(B.order_bars(s, d, "day"))
+    return nullable(cleaning.clean(B.order_bars(s, d, "day")))
 
 
 @query("clean_returns", S.build(*_CLEAN, select="SELECT date, ticker, round(close / prior - 1, 6) AS simple_return, round(ln(close / prior), 6) AS log_return FROM (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prior FROM final) WHERE prior IS NOT NULL"))
@@ -144,9 +150,9 @@ def _(s, d):
     return cleaning.outlier_counts(weekly(s, d))
 
 
-@query("zero_volume_days", S.build(*_DAILY, select=f"SELECT {BAR} FROM grid WHERE coalesce(volume, 0) = 0"))
+@query("zero_volume_days", S.build(*_DAILY, select=f"SELECT {NULLABLE} FROM grid WHERE coalesce(volume, 0) = 0"))
 def _(s, d):
-    return cleaning.zero_volume_days(cleaning.calendar_reindex(B.order_bars(s, d, "day")))
+    return nullable(cleaning.zero_volume_days(cleaning.calendar_reindex(B.order_bars(s, d, "day"))))
 
 
 @query("currency_mix", S.build(S.SECTORS, select="SELECT count(DISTINCT sector) AS n_currencies, string_agg(DISTINCT sector, ',' ORDER BY sector) AS currencies FROM sectors"))
@@ -240,15 +246,18 @@ _PORT = """names AS (SELECT DISTINCT ticker FROM rets WHERE ticker <> '3-MEDIUM'
     "portfolio_metrics",
     S.build(
         WEEK, S.RETURNS, _PORT,
-        select="""SELECT round(total_return, 6) AS total_return, round(pow(1 + total_return, 252.0 / n) - 1, 6) AS cagr, round(sd * sqrt(252), 6) AS annual_vol, round((mean_annual - 0.04) / (sd * sqrt(252)), 6) AS sharpe,
-        round((mean_annual - 0.04) / (down * sqrt(252)), 6) AS sortino, round((pow(1 + total_return, 252.0 / n) - 1) / abs(mdd), 6) AS calmar, round(mdd, 6) AS max_drawdown, round(abs(q95), 6) AS var_95, round(abs(q99), 6) AS var_99, round(abs(t95), 6) AS cvar_95,
+        select="""SELECT round(ln(1 + total_return), 6) AS log_total_return, round(252.0 / n * ln(1 + total_return), 6) AS log_cagr, round(sd * sqrt(252), 6) AS annual_vol, round((mean_annual - 0.04) / (sd * sqrt(252)), 6) AS sharpe,
+        round((mean_annual - 0.04) / (down * sqrt(252)), 6) AS sortino, round(ln((pow(1 + total_return, 252.0 / n) - 1) / abs(mdd)), 6) AS log_calmar, round(mdd, 6) AS max_drawdown, round(abs(q95), 6) AS var_95, round(abs(q99), 6) AS var_99, round(abs(t95), 6) AS cvar_95,
         (SELECT round(covar_samp(p, r) / var_samp(r), 6) FROM day JOIN rets USING (date) WHERE ticker = '3-MEDIUM') AS beta_vs_benchmark,
         round((SELECT avg(s) FROM (SELECT stddev_samp(r) AS s FROM rets WHERE ticker <> '3-MEDIUM' GROUP BY ticker)) / sd, 6) AS diversification_ratio, 'equal' AS weights_strategy,
         '{' || (SELECT string_agg('"' || ticker || '": 0.25', ', ' ORDER BY ticker) FROM names) || '}' AS weights_used FROM one""",
     ),
 )
 def _(s, d):
-    return metrics.portfolio_metrics(weekly(s, d), benchmark=BENCHMARK)
+    one = metrics.portfolio_metrics(weekly(s, d), benchmark=BENCHMARK)
+    # these grow beyond any fixed number of digits here, so their logarithms are compared
+    logs = {"total_return": F.ln(1 + F.col("total_return")), "cagr": F.ln(1 + F.col("cagr")), "calmar": F.ln("calmar")}
+    return one.select(*[c for c in one.columns if c not in logs], *[x.alias(f"log_{c}") for c, x in logs.items()])
 
 
 @query("portfolio_returns", S.build(MONTH, S.RETURNS, select="SELECT date, round(sum(r) / 25, 6) AS simple_return FROM rets GROUP BY date HAVING count(r) = 25"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import panel
+from . import panel, scenarios
 
-QUERIES = dict(panel.QUERIES)
-ORACLE = dict(panel.ORACLE)
+QUERIES = dict(panel.QUERIES) | scenarios.QUERIES
+ORACLE = dict(panel.ORACLE) | scenarios.ORACLE
