@@ -334,14 +334,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     position = spark.sparkContext.broadcast(_Position(classes))
     cuts = np.arange(1, FRAGMENTS) / FRAGMENTS
     labels = components(candidates(prefixes(docs, p, sent, n, percent), percent))
-    nodes = shards.durable(members(docs, p, labels, n))
-    large = nodes.groupBy("cluster").count().where(F.col("count") > CELL).select("cluster")
-    small = nodes.join(large, "cluster", "left_anti")
+    large = shards.durable(labels.groupBy("label").count().where(F.col("count") > CELL).select("label"))
+    any_large = not large.isEmpty()
+    few = labels.join(large, "label", "left_anti") if any_large else labels
     # some small clusters to a cell
-    many = max(1, -(-small.count() // 64))
+    many = max(1, -(-few.count() // 64))
+    small = members(docs, p, few, n)
     found = shards.durable(links(small.select(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(many))).alias("cell"), F.lit(0).alias("side"), "node", "size", "payload"), percent, cuts, position))
-    if not large.isEmpty():
-        found = found.unionByName(_large(nodes.join(large, "cluster", "left_semi"), percent, cuts, position))
+    if any_large:
+        found = found.unionByName(_large(members(docs, p, labels.join(large, "label", "left_semi"), n), percent, cuts, position))
     rows = shards.durable(described(docs, n))
     least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     label = components(found)
