@@ -153,7 +153,9 @@ def models(docs: DataFrame, target: DataFrame) -> tuple[Vocabulary, Model, Model
             total += np.frombuffer(codec.decompress(x.as_buffer(), 4 * int(n)), np.uint32)
         return pa.table({"part": table["part"][:1], "payload": pa.array([total.tobytes()], pa.binary())})
 
-    marked = docs.join(target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("own", F.lit(True)), "doc_id", "left").select("text", F.coalesce("own", F.lit(False)).alias("own"))
+    # ids of the target grow with the input, so they are never broadcast
+    ids = target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("own", F.lit(True)).hint("merge")
+    marked = docs.join(ids, "doc_id", "left").select("text", F.coalesce("own", F.lit(False)).alias("own"))
     both = [np.zeros(width), np.zeros(width)]
     for r in marked.mapInArrow(count, "part int, payload binary").groupBy("part").applyInArrow(add, "part int, payload binary").collect():
         for x, y in zip(both, np.split(np.frombuffer(r.payload, np.int64), 2), strict=True):
