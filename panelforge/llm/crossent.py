@@ -1,7 +1,7 @@
 """LM scoring by cross-entropy difference.
 
 Two trigram models, one of target documents and one of all documents, share one vocabulary (the most frequent
-words of all documents; others are one unknown word), one smoothing and one size: the background's counts are
+words of all documents, VOCABULARY at most; others are one unknown word), one smoothing and one size: the background's counts are
 scaled to the target's number of tokens, so that neither model is smoothed more than the other.  A
 document's score is the mean over its tokens of the target's loss less the background's: lower is closer
 to the target.
@@ -31,7 +31,7 @@ _PARTS = 32
 
 
 def word_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(name, n) of words with a chance of the vocabulary: the VOCABULARY most frequent of each bucket of words."""
+    """(name, n) of words with a chance of the vocabulary: the most frequent of each bucket of words, one more than the vocabulary has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,12 +47,31 @@ def word_counts(docs: DataFrame, buckets: int) -> DataFrame:
         name, n = K.unpack_all(table["payload"], [np.uint64, np.uint32])
         name, back = np.unique(name, return_inverse=True)
         n = np.bincount(back, n).astype(np.int64)
-        top = np.lexsort((name.view(np.int64), -n))[:VOCABULARY]
+        top = np.lexsort((name.view(np.int64), -n))[: VOCABULARY + 1]
         return pa.table({"name": pa.array(name[top].view(np.int64)), "n": pa.array(n[top])})
 
     return docs.select("text").mapInArrow(count, "bucket int, payload binary").groupBy("bucket").applyInArrow(add, "name long, n long")
 
 
+def frequent(counts: DataFrame, most: int) -> list:
+    """The rows with more than c counts, for the smallest c that leaves `most` of them: ties at the border stay out together.
+
+    The border is sought in bins of counts, so the driver gets some thousand numbers and the words themselves.
+    """
+    bin_ = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    above, border = 0, 0
+    for r in sorted(counts.groupBy(bin_.alias("b")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.b):
+        if above + r.k > most:
+            for x in sorted(counts.where(bin_ == r.b).groupBy("n").agg(F.count("*").alias("k")).collect(), key=lambda x: -x.n):
+                if above + x.k > most:
+                    border = x.n
+                    break
+                above += x.k
+            break
+        above += r.k
+    return counts.where(F.col("n") > border).collect()
+
+
 def names_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Names of the words (white space parts them; case of ASCII and Latin-1 doesn't count), and words before each text."""
     x = K.folded(buf)
@@ -123,7 +142,7 @@ class Model:
 def models(docs: DataFrame, target: DataFrame) -> tuple[Vocabulary, Model, Model]:
     """The shared vocabulary, the target's model and the background's; docs: doc_id, text; target: ids in doc_id."""
     p = shards.plan(docs)
-    top = word_counts(docs, p.buckets).orderBy(F.desc("n"), "name").limit(VOCABULARY).collect()
+    top = sorted(frequent(shards.durable(word_counts(docs, p.buckets)), VOCABULARY), key=lambda r: (-r.n, r.name))
     names = np.array([r.name for r in top], np.int64).view(np.uint64)
     order = np.argsort(names)
     vocabulary = Vocabulary(names[order], np.arange(2, len(names) + 2)[order])

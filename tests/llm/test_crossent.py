@@ -22,7 +22,9 @@ def brute(rows, target, size):
     name = lambda w: int(K.name(K.prefix(b := np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(b)]))[0])
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     freq = Counter(w for ws in words for w in ws)
-    ids = {w: k + 2 for k, w in enumerate(sorted(freq, key=lambda w: (-freq[w], signed(name(w))))[:size])}
+    order = sorted(freq, key=lambda w: (-freq[w], signed(name(w))))
+    border = freq[order[size]] if len(order) > size else 0
+    ids = {w: k + 2 for k, w in enumerate(w for w in order if freq[w] > border)}
     tables = [[Counter(), Counter(), Counter()] for _ in range(2)]
     one = lambda *x: int(C.slot(*(np.array([y]) for y in x))[0])
     tri = [[(ids.get(w, 1), ids.get(ws[k - 1], 1) if k else 0, ids.get(ws[k - 2], 1) if k > 1 else 0) for k, w in enumerate(ws)] for ws in words]
