@@ -334,7 +334,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
             _, off = K.flat(batch.column(1))
             at = 0
             while at < len(off) - 1:
-                to = max(at + 1, int(np.searchsorted(off, off[at] + 4 * K.PIECE, "right")) - 1)
+                to = max(at + 1, int(np.searchsorted(off, off[at] + K.PIECE, "right")) - 1)
                 yield _encoded(bpe, batch.slice(at, to - at), keep)
                 at = to
 

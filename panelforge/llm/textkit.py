@@ -7,12 +7,19 @@ windows are 64-bit; two different words of a corpus share a name with probabilit
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Python workers are kept between tasks; blocks of 2 MB or more go back to the system as soon as they are free
+pa.set_memory_pool(pa.system_memory_pool())
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD of glibc
+
 U64 = np.uint64
 #: Bytes that part words: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)

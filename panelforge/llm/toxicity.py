@@ -148,23 +148,26 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30, trust: f
 
 
 def logistic(x: np.ndarray, target: np.ndarray, ridge: np.ndarray, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Weights and intercept for soft targets, by Newton's method with halved steps; ridge: the penalty of each weight."""
+    """Weights and intercept for soft targets, by Newton's method with halved steps; x: a column of ones last; ridge: the penalty of each weight."""
     n, m = x.shape
-    xb = np.concatenate([x, np.ones((n, 1), x.dtype)], 1)
     penalty = np.append(ridge, 1e-6)
     base = float(np.clip(target.mean(), 1e-4, 1 - 1e-4))
-    w = np.append(np.zeros(m), np.log(base / (1 - base)))
+    w = np.append(np.zeros(m - 1), np.log(base / (1 - base)))
 
     def loss(w: np.ndarray) -> float:
-        z = xb @ w.astype(x.dtype)
+        z = x @ w.astype(x.dtype)
         return float((np.logaddexp(0, z.astype(np.float64)) - target * z).sum() + 0.5 * (penalty * w * w).sum())
 
     now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(xb @ w.astype(x.dtype), -30, 30)))
-        grad = xb.T @ (p - target).astype(x.dtype) + penalty * w
-        curve = (xb * np.sqrt(np.maximum(p * (1 - p), 1e-6))[:, None].astype(x.dtype))
-        step = np.linalg.solve((curve.T @ curve).astype(np.float64) + np.diag(penalty), grad)
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype), -30, 30)))
+        grad = x.T @ (p - target).astype(x.dtype) + penalty * w
+        weight = np.sqrt(np.maximum(p * (1 - p), 1e-6)).astype(x.dtype)[:, None]
+        curve = np.diag(penalty)
+        for k in range(0, n, 512):
+            part = x[k : k + 512] * weight[k : k + 512]
+            curve += part.T @ part
+        step = np.linalg.solve(curve, grad)
         size = 1.0
         while size > 1e-3 and (new := loss(w - size * step)) > now:
             size /= 2
@@ -200,22 +203,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, voters: int =
     if len(np.unique(given)) < 2:
         base = (given.sum() + 1) / (len(given) + 2)
         return Model(np.zeros(0, np.int64), np.zeros((0, LEVELS)), np.zeros(len(PATTERNS)), float(np.log(base / (1 - base))))
-    ids = [np.frombuffer(r.ids, np.uint32) for r in rows]
-    shape = np.array([np.frombuffer(r.shape, np.uint8) for r in rows], np.float32)
     # an order that depends on the rows alone
-    order = np.lexsort(([len(i) for i in ids], [int(i.sum(dtype=np.int64)) for i in ids], given))
-    ids, shape, given = [ids[k] for k in order], shape[order], given[order]
-    who, what = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(i) for i in ids]), np.concatenate(ids)
-    # features that three rows have; a row that has a level has those below it
-    base, count = np.unique(what // LEVELS, return_counts=True)
-    base = base[count >= 3]
-    at = np.minimum(np.searchsorted(base, what // LEVELS), max(0, len(base) - 1))
-    keep = base[at] == what // LEVELS if len(base) else np.zeros(len(what), bool)
-    who, at, level = who[keep], at[keep], (what % LEVELS)[keep]
-    del ids, rows, what
+    order = np.lexsort(([len(r.ids) for r in rows], [int(np.frombuffer(r.ids, np.uint32).sum(dtype=np.int64)) for r in rows], given))
+    given, shape = given[order], np.array([np.frombuffer(rows[k].shape, np.uint8) for k in order], np.float32)
+    # features that three rows have, counted row by row, as all rows' features together are large
+    count = np.zeros(SPACE, np.uint32)
+    for r in rows:
+        count[np.frombuffer(r.ids, np.uint32) // LEVELS] += 1
+    base = np.flatnonzero(count >= 3)
+    place = np.zeros(SPACE, np.int32)
+    place[base] = np.arange(len(base))
+    ids, sizes = [], []
+    for k in order.tolist():
+        own = np.frombuffer(rows[k].ids, np.uint32)
+        own = own[count[own // LEVELS] >= 3]
+        ids.append(place[own // LEVELS] * LEVELS + (own % LEVELS).astype(np.int32))
+        sizes.append(len(own))
+        rows[k] = None
+    del rows, count, place
+    # a row that has a level of a feature has those below it
+    who, what = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.concatenate(ids)
+    level = what % LEVELS
+    keep = [level >= k for k in range(LEVELS)]
+    who, code = np.concatenate([who[o] for o in keep]), np.concatenate([what[o] - level[o] + k for k, o in enumerate(keep)])
+    del ids, what, level, keep
     size = len(base) * LEVELS
-    own = [level >= k for k in range(LEVELS)]
-    who, code = np.concatenate([who[o] for o in own]), np.concatenate([at[o] * LEVELS + k for k, o in enumerate(own)])
     one, all_ = np.bincount(code, given[who], size), np.bincount(code, minlength=size)
     zero = all_ - one
     n1, n0 = given.sum(), (1 - given).sum()
@@ -227,11 +239,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, voters: int =
     z = np.sign(odds) * np.sqrt(np.maximum(2 * ratio, 0))
     z[all_ < 3] = 0
 
-    def table(columns: np.ndarray) -> np.ndarray:
-        place = np.full(size, -1)
+    def table(columns: np.ndarray, more: int = 0) -> np.ndarray:
+        place = np.full(size, -1, np.int32)
         place[columns] = np.arange(len(columns))
         at = place[code]
-        out = np.zeros((len(given), len(columns)), np.float32)
+        out = np.zeros((len(given), len(columns) + more), np.float32)
         out[who[at >= 0], at[at >= 0]] = 1
         return out
 
@@ -250,12 +262,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, voters: int =
     lexicon = strong[alone & (z[strong] > 3) & (2 * one[strong] >= all_[strong]) & (one[strong] >= 3)][:voters]
     del fires, both
 
-    fired = table(lexicon)
-    silent = (fired.sum(1, keepdims=True) == 0).astype(np.float32)
-    posterior, _ = label_model(np.concatenate([fired, silent, shape], 1).astype(np.float64), given)
+    votes = table(lexicon, 1 + len(PATTERNS))
+    votes[:, len(lexicon)] = votes.sum(1) == 0
+    votes[:, len(lexicon) + 1 :] = shape
+    posterior, _ = label_model(votes.astype(np.float64), given)
+    del votes
     # features with little evidence are held back more
-    ridge = np.append((5 / np.abs(z[wide])) ** 4, np.ones(shape.shape[1]))
-    w, bias = logistic(np.concatenate([table(wide), shape], 1), posterior, ridge)
+    ridge = np.append((5 / np.abs(z[wide])) ** 4, np.ones(len(PATTERNS)))
+    x = table(wide, len(PATTERNS) + 1)
+    x[:, len(wide) : -1], x[:, -1] = shape, 1
+    w, bias = logistic(x, posterior, ridge)
     kept, at = np.unique(wide // LEVELS, return_inverse=True)
     weights = np.zeros((len(kept), LEVELS))
     weights[at, wide % LEVELS] = w[: len(wide)]
@@ -274,12 +290,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, model: Model, below: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that score less than `below`."""
-    at = docs.columns.index(text_col)
+    """The rows of docs, with all their columns, that score less than `below`; only texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rate = model.scorer()
-        for batch in batches:
-            yield batch.filter(pa.array(rate(*K.flat(batch.column(at))) < below))
+    @F.arrow_udf("double")
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score_ = model.scorer()
+        for texts in batches:
+            yield pa.array(score_(*K.flat(texts)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(rate(F.col(text_col).cast("string")) < below)
