@@ -105,13 +105,14 @@ def next_business_days(last: pd.Timestamp, n: int) -> pd.DatetimeIndex:
     return pd.bdate_range(last, periods=n + 1)[1:]
 
 
-def fit(model: str, values: np.ndarray, days: np.ndarray, future: np.ndarray, level: float, settings: Settings = DEFAULTS) -> dict:
+def fit(model: str, values: np.ndarray, days: np.ndarray, future: np.ndarray, level: float, settings: Settings = DEFAULTS, custom: dict[str, Callable] | None = None) -> dict:
+    custom = CUSTOM if custom is None else custom
+    if model in custom:
+        return custom[model](values, days, future, level)
     if model.startswith("arima"):
         return models.arima(values, len(future), level, settings.arima_max_p, settings.arima_max_q, settings.arima_max_d)
     if model == "prophet":
         return models.trend_seasonal(values, days, future, level, seed=settings.seed)
-    if model in CUSTOM:
-        return CUSTOM[model](values, days, future, level)
     raise ValueError(f"unknown model: {model}")
 
 
@@ -120,12 +121,11 @@ def fitted(train: DataFrame, model: str, horizon: int, level: float, keys: tuple
     custom = dict(CUSTOM)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        CUSTOM.update(custom)
         pdf = pdf.sort_values("date")
         y = pdf["y"].to_numpy()
         future = _days(pd.Series(next_business_days(pd.Timestamp(pdf["date"].iloc[-1]), horizon)))
         try:
-            r = fit(model, y, _days(pdf["date"]), future, level, settings)
+            r = fit(model, y, _days(pdf["date"]), future, level, settings, custom)
         except (ArithmeticError, ValueError, np.linalg.LinAlgError):
             r = {"converged": False}
         ok = bool(r.get("converged"))

@@ -11,8 +11,12 @@ def first_of_key(ticks: DataFrame, keys: list[str], time: str = "ts", late: str
     return ticks.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_bars(ticks: DataFrame, ticker: str, price: str, time: str = "ts", width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """(window_start, ticker, open, high, low, close, volume) of tumbling windows; ticks later than `late` are dropped."""
-    own = ticks.where(F.col(price).isNotNull()).withWatermark(time, late)
+def stream_bars(ticks: DataFrame, ticker: str, price: str, time: str = "ts", width: str = "1 hour", late: str | None = "1 hour") -> DataFrame:
+    """(window_start, ticker, open, high, low, close, volume) of tumbling windows; ticks later than `late` are dropped.
+
+    late None: the ticks have a watermark already.
+    """
+    own = ticks.where(F.col(price).isNotNull())
+    own = own.withWatermark(time, late) if late else own
     bars = own.groupBy(F.window(time, width), F.col(ticker).alias("ticker")).agg(F.min_by(price, time).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, time).alias("close"), F.count("*").alias("volume"))
     return bars.select(F.col("window.start").alias("window_start"), "ticker", "open", "high", "low", "close", "volume")
