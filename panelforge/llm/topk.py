@@ -1,6 +1,6 @@
 """Exact top-k by inner product with a pivot table.
 
-Distances from every vector to a few pivots are tabulated.  By the triangle inequality the distance between
+Distances from every vector to many pivots are tabulated.  By the triangle inequality the distance between
 a query and a vector is at least max_p |d(query, p) - d(vector, p)|, and as
 2 <q, x> = |q|^2 + |x|^2 - d(q, x)^2 that is an upper bound of the score.  Candidates are evaluated in the order
 of their bounds until the next bound is below the k-th score found so far.
@@ -63,14 +63,17 @@ class Search:
         """table: the vectors' distances to the pivots."""
         square = (x * x).sum(1)
         for i, own in enumerate(self.ids.tolist()):
-            low = np.zeros(len(x))
-            for p in range(table.shape[1]):
-                np.maximum(low, np.abs(table[:, p] - self.table[i, p]), out=low)
-            # roots and differences are rounded; the slack keeps the bound a bound
-            low = np.maximum(low * (1 - 1e-9) - 1e-6, 0)
-            bound = np.floor((self.square[i] + square - low * low) / 2 * (1 + 1e-12) + 1e-3)
             kth = self.best_score[i][-1] if len(self.best_score[i]) == self.k else None
-            live = np.flatnonzero((ids != own) if kth is None else (ids != own) & (bound >= kth))
+            live, low, bound = np.flatnonzero(ids != own), np.zeros(len(x)), np.full(len(x), np.inf)
+            # some pivots at a time, so that most vectors are dropped after the first few
+            for p in range(0, table.shape[1], 8):
+                gap = np.abs(table[live, p : p + 8] - self.table[i, p : p + 8]).max(1)
+                low[live] = np.maximum(low[live], gap)
+                # roots and differences are rounded; the slack keeps the bound a bound
+                sure = np.maximum(low[live] * (1 - 1e-9) - 1e-6, 0)
+                bound[live] = np.floor((self.square[i] + square[live] - sure * sure) / 2 * (1 + 1e-12) + 1e-3)
+                if kth is not None:
+                    live = live[bound[live] >= kth]
             live = live[np.argsort(-bound[live], kind="stable")]
             at, step = 0, max(32, 4 * self.k)
             while at < len(live):
@@ -107,7 +110,7 @@ def pivot_table(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, v array<int>, d array<double>")
 
 
-def top_k(table: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(table: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of `table` for every row of `queries`, ties to the smaller vec_id.
 
     A query's own vec_id is no candidate.  Vectors are compared with vectors of the same length.  Rows that
