@@ -56,13 +56,18 @@ def nyse_holidays(first: int, last: int) -> list[dt.date]:
     return sorted({*out, *(d for d in SPECIAL_CLOSURES if first <= d.year <= last)})
 
 
-def trading_days(spark: SparkSession, start: dt.date, end: dt.date, name: str = "NYSE") -> DataFrame:
-    """One row per trading day of [start, end].  Calendars: NYSE, or WEEKDAYS without holidays."""
+def is_trading_day(date: Column, first: int, last: int, name: str = "NYSE") -> Column:
+    """Whether a date of the years first to last is a trading day.  Calendars: NYSE, or WEEKDAYS without holidays."""
     if name not in ("NYSE", "WEEKDAYS"):
         raise ValueError(f"unknown calendar: {name}")
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date")).where(F.weekday("date") < 5)
-    closed = nyse_holidays(start.year, end.year) if name == "NYSE" else []
-    return days.where(~F.col("date").isin(closed)) if closed else days
+    closed = nyse_holidays(first, last) if name == "NYSE" else []
+    return (F.weekday(date) < 5) & ~date.isin(closed) if closed else F.weekday(date) < 5
+
+
+def trading_days(spark: SparkSession, start: dt.date, end: dt.date, name: str = "NYSE") -> DataFrame:
+    """One row per trading day of [start, end]."""
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"))
+    return days.where(is_trading_day(F.col("date"), start.year, end.year, name))
 
 
 def business_day(start: Column, offset: Column) -> Column:

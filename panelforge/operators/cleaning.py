@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.calendar import trading_days
+from ..functions.calendar import is_trading_day, trading_days
 from ..functions.stats import by_date, no_nan
 
 OHLC = ("open", "high", "low", "close")
@@ -45,11 +45,10 @@ def calendar_reindex(prices: DataFrame, calendar: str = DEFAULTS.calendar) -> Da
     ends = span(prices)
     if ends is None:
         raise ValueError("the panel is empty")
-    days = trading_days(prices.sparkSession, *ends, calendar)
-    if days.isEmpty():
+    if trading_days(prices.sparkSession, *ends, calendar).isEmpty():
         raise ValueError("the calendar has no trading day in the panel's span")
-    # days and tickers grow with calendars and listings, not with rows
-    grid = prices.select("ticker").distinct().crossJoin(F.broadcast(days))
+    # each ticker lays out its own days, so nothing is broadcast or crossed
+    grid = prices.select("ticker").distinct().withColumn("date", F.explode(F.sequence(F.lit(ends[0]), F.lit(ends[1])))).where(is_trading_day(F.col("date"), ends[0].year, ends[1].year, calendar))
     return grid.join(prices, ["date", "ticker"], "left").select("date", "ticker", *OHLC, "volume")
 
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS
 from ..operators import cleaning, eda, metrics
 from ..sources import bars as B
 from . import sql as S
@@ -205,6 +204,11 @@ def _(s, d):
     return metrics.return_metrics(r).unionByName(metrics.risk_metrics(r)).unionByName(metrics.risk_adjusted(r))
 
 
+@query("metrics_sheet", S.build(WEEK, *_ALL, select="SELECT ticker, " + ", ".join(f"round({n}, 6) AS {n}" for n in ["sharpe", "sortino", "calmar"]) + " FROM adj"))
+def _(s, d):
+    return metrics.risk_adjusted(weekly(s, d)).groupBy("ticker").pivot("metric_name", ["sharpe", "sortino", "calmar"]).agg(F.first("value"))
+
+
 @query("drawdown_series", S.build(WEEK, select="SELECT date, ticker, round(close, 6) AS close, round(max(close) OVER w, 6) AS running_peak, round(close / max(close) OVER w - 1, 6) AS drawdown_pct FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)"))
 def _(s, d):
     return metrics.drawdown_series(B.order_bars(s, d, "week"))
@@ -405,5 +409,3 @@ def _(s, d):
 def _(s, d):
     return eda.box(weekly(s, d))
 
-
-assert DEFAULTS.sharpe_window == 90

@@ -1,6 +1,5 @@
 import datetime as dt
 import math
-import random
 
 import numpy as np
 import pytest
@@ -242,4 +241,3 @@ def test_stationarity(walk):
     assert few.p_value is None and few.is_stationary is False
 
 
-assert random
