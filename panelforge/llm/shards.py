@@ -10,6 +10,8 @@ windows of one anchor occurrence make a chunk, named by its whole content.
 2. replies  a bucket tells each block which of its chunks share their anchor or content with another;
 3. letters  blocks send one copy of each content that must be compared with others to the bucket;
 4. answers  a bucket compares the windows of all contents of an anchor (the caller's method) and answers;
+            contents of an anchor that has more than HOT of them are dealt out once more, window by window
+            by the window's name, so that no anchor has to be held by one task;
 5. marks    blocks put replies and answers together and know which windows repeat.
 
 A block is a set of documents by hash of the doc_id (about BLOCK bytes), a bucket one of anchors; both
@@ -37,6 +39,8 @@ BLOCK, BUCKET = 4 << 20, 8 << 20
 NO_ID = np.int64(2**63 - 1)
 #: Documents are cut into overlapping segments of so many bytes before windows are sought.
 SEGMENT = 8 << 20
+#: Contents of one anchor beyond which they are compared by windows.
+HOT = 4096
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -225,6 +229,24 @@ class Windows:
         return Chunks(anchor, content, doc + row, begin - first[doc], count, lo - o[doc], hi - o[doc])
 
 
+    def windows(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every window of the texts its text, first item and name."""
+        texts, starts_, names_ = [], [], []
+        for a, _, x, o in K.pieces(buf, off):
+            c = K.prefix(x)
+            first = o
+            if self.words:
+                starts, ends, first = K.words(x, o)
+                names = K.name(c, starts, ends)
+                c = np.concatenate([[np.uint64(0)], np.cumsum(names * K.powers(len(names))[0], dtype=np.uint64)])
+            at = np.flatnonzero(K.in_document(first, self.width))
+            text = np.searchsorted(first, at, "right") - 1
+            texts.append(text + a)
+            starts_.append(at - first[text])
+            names_.append(K.name(c, at, at + self.width))
+        return np.concatenate(texts), np.concatenate(starts_), np.concatenate(names_)
+
+
 def survey(docs: DataFrame, p: Plan, w: Windows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,11 +276,12 @@ def survey(docs: DataFrame, p: Plan, w: Windows) -> DataFrame:
 SURVEY = [np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.bool_]
 REPLY = [np.uint64, np.uint32, np.int64, np.uint8]
 ANSWER = [np.uint64, np.uint32, np.uint32]
-PEERS, KEEPER = 1, 2
+PEERS, KEEPER, MANY = 1, 2, 4
 
 
 def replies(surveyed: DataFrame, across_documents: bool) -> DataFrame:
-    """(block, payload): of the chunks that may repeat, content, how often it occurs, its smallest doc_id, and whether its anchor has other contents (PEERS) and the block keeps the copy to send (KEEPER)."""
+    """(block, payload): of the chunks that may repeat, content, how often it occurs, its smallest doc_id, and whether its anchor has other contents (PEERS; MANY: more than HOT) and the block keeps the copy to send (KEEPER)."""
+    hot = HOT
 
     def run(table: pa.Table) -> pa.Table:
         anchor, content, block, count, doc, more = K.unpack_all(table["payload"], SURVEY)
@@ -276,7 +299,7 @@ def replies(surveyed: DataFrame, across_documents: bool) -> DataFrame:
             wide = (np.minimum.reduceat(doc, a_new[:-1]) != np.maximum.reduceat(doc, a_new[:-1])) | np.logical_or.reduceat(more, a_new[:-1])
         else:
             wide = np.add.reduceat(count.astype(np.int64), a_new[:-1]) > 1
-        flag = np.where(kinds > 1, PEERS, 0) | np.where(new, KEEPER, 0)
+        flag = np.where(kinds > 1, PEERS, 0) | np.where(new, KEEPER, 0) | np.where(kinds > hot, MANY, 0)
         keep = np.flatnonzero(wide[of_a])
         keep = keep[np.argsort(block[keep], kind="stable")]
         cut = K.runs(block[keep])
@@ -317,23 +340,36 @@ def letters(parcels: DataFrame, told: DataFrame, p: Plan, w: Windows) -> DataFra
         send = np.flatnonzero(at >= 0)
         send = send[(flag[at[send]] & (PEERS | KEEPER)) == (PEERS | KEEPER)]
         send = send[np.unique(c.content[send], return_index=True)[1]]
-        bucket = ((c.anchor[send] & _LOW) % np.uint64(p.buckets)).astype(np.int64)
+        many = (flag[at[send]] & MANY) > 0
+        buckets, out = [], []
+        codec = pa.Codec("zstd", compression_level=3)
+        texts = lambda q: buf[K.spans(off[c.row[q]] + c.lo[q], c.hi[q] - c.lo[q])]
+        own = send[~many]
+        bucket = ((c.anchor[own] & _LOW) % np.uint64(p.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        send, bucket = send[order], bucket[order]
+        own, bucket = own[order], bucket[order]
         cut = K.runs(bucket)
-        codec = pa.Codec("zstd", compression_level=3)
-        out = []
         for i, j in zip(cut[:-1], cut[1:], strict=True):
-            q = send[i:j]
-            raw = buf[K.spans(off[c.row[q]] + c.lo[q], c.hi[q] - c.lo[q])].tobytes()
-            head = K.pack(content=c.content[q], size=(c.hi[q] - c.lo[q]).astype(np.uint32), total=total[at[q]], doc=doc[at[q]])
-            out.append(np.array([block, len(head), len(raw)], np.int64).tobytes() + head + codec.compress(raw, asbytes=True))
-        return pa.table({"bucket": pa.array(bucket[cut[:-1]], pa.int32()), "payload": pa.array(out, pa.binary())})
+            q = own[i:j]
+            raw = texts(q).tobytes()
+            head = K.pack(anchor=c.anchor[q], content=c.content[q], size=(c.hi[q] - c.lo[q]).astype(np.uint32), total=total[at[q]], doc=doc[at[q]])
+            out.append(np.array([block, 0, len(head), len(raw)], np.int64).tobytes() + head + codec.compress(raw, asbytes=True))
+            buckets.append(int(bucket[i]))
+        own = send[many]
+        if len(own):
+            text, start, name = w.windows(texts(own), np.concatenate([[0], np.cumsum(c.hi[own] - c.lo[own])]))
+            order, begin = K.by_bucket((name % np.uint64(p.buckets)).astype(np.int64), p.buckets)
+            for k in np.flatnonzero(np.diff(begin)).tolist():
+                q = order[begin[k] : begin[k + 1]]
+                head = K.pack(name=name[q], content=c.content[own[text[q]]], start=start[q].astype(np.uint32), total=total[at[own[text[q]]]], doc=doc[at[own[text[q]]]])
+                out.append(np.array([block, 1, len(head), 0], np.int64).tobytes() + head)
+                buckets.append(k)
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "payload": pa.array(out, pa.binary())})
 
     return parcels.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "bucket int, payload binary")
 
 
-def answers(sent: DataFrame, compare: Callable) -> DataFrame:
+def answers(sent: DataFrame, compare: Callable, across_documents: bool) -> DataFrame:
     """(block, payload): windows that repeat, as runs (content, first window, number).
 
     compare gets bytes, offsets, totals and smallest doc_ids of a bucket's contents and returns runs
@@ -342,22 +378,51 @@ def answers(sent: DataFrame, compare: Callable) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         codec = pa.Codec("zstd")
-        blocks, heads, texts = [], [], []
+        blocks, heads, texts, wide = [], [], [], []
         for x in table["payload"]:
             x = x.as_buffer()
-            block, head, size = np.frombuffer(x, np.int64, 3).tolist()
-            heads.append(K.unpack(x.slice(24, head), [np.uint64, np.uint32, np.uint32, np.int64]))
-            texts.append(np.frombuffer(codec.decompress(x.slice(24 + head), size), np.uint8))
+            block, kind, head, size = np.frombuffer(x, np.int64, 4).tolist()
+            if kind:
+                own = K.unpack(x.slice(32, head), [np.uint64, np.uint64, np.uint32, np.uint32, np.int64])
+                wide.append((np.full(len(own[0]), block), *own))
+                continue
+            heads.append(K.unpack(x.slice(32, head), [np.uint64, np.uint64, np.uint32, np.uint32, np.int64]))
+            texts.append(np.frombuffer(codec.decompress(x.slice(32 + head), size), np.uint8))
             blocks.append(np.full(len(heads[-1][0]), block))
-        content, size, total, doc = (np.concatenate([h[k] for h in heads]) for k in range(4))
-        block, buf = np.concatenate(blocks), np.concatenate(texts)
-        off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        which, start, count = compare(buf, off, total, doc)
-        order = np.argsort(block[which], kind="stable")
-        which, start, count = which[order], start[order], count[order]
-        cut = K.runs(block[which])
-        out = [K.pack(content=content[which[i:j]], start=start[i:j].astype(np.uint32), count=count[i:j].astype(np.uint32)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"block": pa.array(block[which][cut[:-1]], pa.int32()), "payload": pa.array(out, pa.binary())})
+        found = []
+        if heads:
+            anchor, content, size, total, doc = (np.concatenate([h[k] for h in heads]) for k in range(5))
+            block, buf = np.concatenate(blocks), np.concatenate(texts)
+            del heads, texts, blocks
+            begin = np.cumsum(size, dtype=np.int64) - size
+            # anchors are compared on their own, some of them at a time
+            order = np.argsort(anchor, kind="stable")
+            cut = K.runs(anchor[order])
+            ends = np.cumsum(size[order], dtype=np.int64)[cut[1:] - 1]
+            at = 0
+            while at < len(cut) - 1:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + K.PIECE, "right")))
+                q = order[cut[at] : cut[to]]
+                which, start, count = compare(buf[K.spans(begin[q], size[q].astype(np.int64))], np.concatenate([[0], np.cumsum(size[q], dtype=np.int64)]), total[q], doc[q])
+                found.append((block[q][which], content[q][which], start, count))
+                at = to
+        if wide:
+            block, name, content, start, total, doc = (np.concatenate([x[k] for x in wide]) for k in range(6))
+            order = np.argsort(name, kind="stable")
+            cut = K.runs(name[order])
+            of = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+            if across_documents:
+                hit = doc[order] > np.minimum.reduceat(doc[order], cut[:-1])[of]
+            else:
+                hit = np.add.reduceat(total[order].astype(np.int64), cut[:-1])[of] > 1
+            q = order[hit]
+            found.append((block[q], content[q], start[q], np.ones(len(q), np.int64)))
+        block, content, start, count = (np.concatenate([x[k] for x in found]) for k in range(4))
+        order = np.argsort(block, kind="stable")
+        block, content, start, count = block[order], content[order], start[order], count[order]
+        cut = K.runs(block)
+        out = [K.pack(content=content[i:j], start=start[i:j].astype(np.uint32), count=count[i:j].astype(np.uint32)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table({"block": pa.array(block[cut[:-1]], pa.int32()), "payload": pa.array(out, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, "block int, payload binary")
 
@@ -391,7 +456,7 @@ def repeated(docs: DataFrame, w: Windows, across_documents: bool, compare: Calla
     p = plan(docs)
     told = durable(replies(survey(docs, p, w), across_documents))
     parcels = packed(docs, p)
-    answered = answers(letters(parcels, told, p, w), compare)
+    answered = answers(letters(parcels, told, p, w), compare, across_documents)
     heard = told.select("block", F.lit(0).alias("kind"), "payload").unionByName(answered.select("block", F.lit(1).alias("kind"), "payload"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -27,8 +27,8 @@ def doubling(names: np.ndarray, off: np.ndarray, reach: int, width: int, weight:
     text occurs.
     """
     n = len(names)
-    own = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    left = off[1:][own] - np.arange(n)
+    own = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
+    left = (off[1:][own] - np.arange(n)).astype(np.int32)
     rank = np.full(n, -1, np.int64)
     live = np.flatnonzero(left >= reach)
     rank[live] = np.unique(names[live], return_inverse=True)[1]

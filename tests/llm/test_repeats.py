@@ -68,8 +68,9 @@ def bytes_brute(rows, width):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_words_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 4096), (2, 4096), (3, 4096), (2, 1), (3, 1)])
+def test_words_against_brute_force(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(shards, "HOT", hot)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS block", "2 AS payload").repartition(3)
     got = [tuple(r) for r in fm_index.substring_dedup(docs, 13, 5).collect()]
@@ -77,8 +78,9 @@ def test_words_against_brute_force(spark, seed):
     assert sum(r[2] for r in got) > 0
 
 
-@pytest.mark.parametrize("seed,width,gram", [(1, 40, 10), (2, 40, 16), (3, 100, 25)])
-def test_bytes_against_brute_force(spark, seed, width, gram):
+@pytest.mark.parametrize("seed,width,gram,hot", [(1, 40, 10, 4096), (2, 40, 16, 4096), (3, 100, 25, 4096), (2, 40, 16, 1), (3, 100, 25, 2)])
+def test_bytes_against_brute_force(spark, monkeypatch, seed, width, gram, hot):
+    monkeypatch.setattr(shards, "HOT", hot)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS block", "2 AS kind").repartition(3)
     got = [tuple(r) for r in suffix.suffix_dedup(docs, width, gram).collect()]
