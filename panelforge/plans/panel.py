@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, eda, metrics
+from ..operators import cleaning, contracts, eda, metrics
 from ..sources import bars as B
+from ..sources import files
 from . import sql as S
 
 BENCHMARK = "3-MEDIUM"
@@ -26,9 +27,9 @@ def nullable(prices: DataFrame) -> DataFrame:
     return prices.withColumn("volume", F.col("volume").cast("double"))
 
 
-def query(name: str, oracle: str | None = None, digits: int | None = 6):
+def query(name: str, oracle: str | None = None, digits: int = 6):
     def add(f):
-        QUERIES[name] = (lambda s, d: rounded(f(s, d), digits)) if digits is not None else f
+        QUERIES[name] = lambda s, d: rounded(f(s, d), digits)
         if oracle is not None:
             ORACLE[name] = oracle
         return f
@@ -65,6 +66,20 @@ def _(s, d):
     return B.nation_bars(s, d, "week")
 
 
+@query("wide_to_long", S.build(S.EVENTS, select=f"SELECT {BAR} FROM bars"))
+def _(s, d):
+    long = B.event_bars(s, d)
+    names = sorted(r.ticker for r in long.select("ticker").distinct().collect())
+    wide = long.groupBy("date").pivot("ticker", names).agg(*[F.first(c).alias(c.title()) for c in files.PRICE_COLUMNS[2:]])
+    return files.wide_to_long(wide, names)
+
+
+@query("contract_violations", S.build(WEEK, S.DIRTY, select="SELECT 'prices are positive' AS rule, count(*) FILTER (least(open, high, low, close) <= 0) AS n FROM dirty UNION ALL SELECT 'high is not below low', count(*) FILTER (high < low) FROM dirty"))
+def _(s, d):
+    broken = contracts.violations(B.dirty_bars(B.order_bars(s, d, "week")), "prices_clean")
+    return s.createDataFrame(sorted(broken.items()), "rule string, n long")
+
+
 @query("dedup_keep_first", "SELECT o_orderdate::DATE AS date, o_orderpriority AS ticker, min(o_orderkey) AS ordinal, round(arg_min(o_totalprice, o_orderkey), 6) AS close FROM orders GROUP BY 1, 2")
 def _(s, d):
     raw = B.table(s, d, "orders").select(F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("ticker"), F.col("o_orderkey").alias("ordinal"), F.col("o_totalprice").alias("close"))
@@ -171,8 +186,8 @@ def _(s, d):
 
 
 # ── metrics ──────────────────────────────────────────────────────────────────
-def _long(names: list[str], category: str, source: str) -> str:
-    return f"SELECT ticker, metric_name, round(value, 6) AS value, '{category}' AS category FROM (UNPIVOT (SELECT ticker, {', '.join(names)} FROM {source}) ON {', '.join(names)} INTO NAME metric_name VALUE value)"
+def _long(names: list[str], category: str, source: str, digits: int = 6) -> str:
+    return f"SELECT ticker, metric_name, round(value, {digits}) AS value, '{category}' AS category FROM (UNPIVOT (SELECT ticker, {', '.join(names)} FROM {source}) ON {', '.join(names)} INTO NAME metric_name VALUE value)"
 
 
 _RM = "rm AS (SELECT ticker, product(1 + r) - 1 AS total_return, pow(product(1 + r), 252.0 / count(r)) - 1 AS cagr, avg(r) AS mean_daily, avg(r) * 21 AS mean_monthly, avg(r) * 252 AS mean_annual, max(r) AS best_day, min(r) AS worst_day, avg((r > 0)::INT) AS pct_positive_days FROM rets GROUP BY ticker)"
@@ -198,7 +213,7 @@ def _(s, d):
     return metrics.risk_adjusted(weekly(s, d))
 
 
-@query("metrics_per_ticker", S.build(MONTH, *_ALL, select=" UNION ALL ".join([_long(metrics.RETURN_METRICS, "return", "rm"), _long(metrics.risk_names(), "risk", "risk"), _long(["sharpe", "sortino", "calmar"], "risk_adjusted", "adj")])))
+@query("metrics_per_ticker", S.build(MONTH, *_ALL, select=" UNION ALL ".join([_long(metrics.RETURN_METRICS, "return", "rm", 3), _long(metrics.risk_names(), "risk", "risk", 3), _long(["sharpe", "sortino", "calmar"], "risk_adjusted", "adj", 3)])), 3)
 def _(s, d):
     r = monthly(s, d)
     return metrics.return_metrics(r).unionByName(metrics.risk_metrics(r)).unionByName(metrics.risk_adjusted(r))
