@@ -55,11 +55,17 @@ def correlation_pairs(returns: DataFrame, column: str = "simple_return", unique:
     return pairs(returns, column, unique).groupBy("a", "b").agg(F.when(F.count("*") > 1, correlation(F.col("x"), F.col("y"))).alias("corr"))
 
 
+def mirrored(pairs: DataFrame, a: str, b: str, left: str, right: str) -> DataFrame:
+    """Each pair in both orders, from one evaluation."""
+    half = lambda x, y: F.struct(F.col(x).alias(left), F.col(y).alias(right), "corr")
+    return pairs.select(F.explode(F.array(half(a, b), half(b, a))).alias("p")).select("p.*")
+
+
 def correlation_matrix(returns: DataFrame, column: str = "simple_return", unique: bool = False) -> DataFrame:
     """(ticker_a, ticker_b, corr): both halves and the diagonal, which is null for a constant ticker."""
     c = correlation_pairs(returns, column, unique)
     own = returns.where(F.col(column).isNotNull()).groupBy("ticker").agg(F.when(F.stddev_samp(column) > 0, 1.0).alias("corr")).select(F.col("ticker").alias("ticker_a"), F.col("ticker").alias("ticker_b"), "corr")
-    return c.select(F.col("a").alias("ticker_a"), F.col("b").alias("ticker_b"), "corr").unionByName(c.select(F.col("b").alias("ticker_a"), F.col("a").alias("ticker_b"), "corr")).unionByName(own)
+    return mirrored(c, "a", "b", "ticker_a", "ticker_b").unionByName(own)
 
 
 def top_correlated_pairs(returns: DataFrame, n: int = DEFAULTS.top_correlations) -> DataFrame:
@@ -81,7 +87,7 @@ def _sectored(returns: DataFrame, sectors: DataFrame) -> DataFrame:
 def sector_corr_matrix(returns: DataFrame, sectors: DataFrame) -> DataFrame:
     """(sector_a, sector_b, corr): mean over pairs of different tickers; null where there is none."""
     c = _sectored(returns, sectors)
-    both = c.select(F.col("sa").alias("sector_a"), F.col("sb").alias("sector_b"), "corr").unionByName(c.select(F.col("sb").alias("sector_a"), F.col("sa").alias("sector_b"), "corr"))
+    both = mirrored(c, "sa", "sb", "sector_a", "sector_b")
     names = returns.select("ticker").distinct().join(sectors, "ticker", "left").select(F.coalesce("sector", F.lit("Unknown")).alias("s")).distinct()
     grid = names.select(F.col("s").alias("sector_a")).crossJoin(names.select(F.col("s").alias("sector_b")))
     return grid.join(both.groupBy("sector_a", "sector_b").agg(F.avg("corr").alias("corr")), ["sector_a", "sector_b"], "left")

@@ -39,23 +39,46 @@ def _return_columns(r: Column, days: int) -> list[Column]:
     ]
 
 
-def return_metrics_wide(returns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    return returns.groupBy("ticker").agg(*_return_columns(F.col("simple_return"), settings.days_per_year))
+def wide(returns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """All metrics of each ticker in one aggregation, and so one shuffle.
+
+    What needs the series itself (the tail's mean, the drawdown) is read off its array, which is as long as the
+    calendar.  The drawdown is that of growth from 1, so a first loss counts.
+    """
+    r, days, year = F.col("simple_return"), settings.days_per_year, float(settings.days_per_year) ** 0.5
+    down = F.when(r < 0, r)
+    levels = sorted({*settings.var_levels, *settings.cvar_levels})
+    own = returns.groupBy("ticker").agg(
+        *_return_columns(r, days), F.stddev_samp(r).alias("daily_vol"), (F.stddev_samp(r) * year).alias("annual_vol"), F.when(F.count(down) > 1, F.stddev_samp(down) * year).alias("downside_deviation"),
+        F.percentile(r, F.array(*[F.lit(1 - x) for x in levels])).alias("q"), F.sort_array(F.collect_list(F.struct("date", r.alias("r")))).alias("s"),
+    )
+    q = {x: F.col("q")[k] for k, x in enumerate(levels)}
+    values = F.transform("s", lambda x: x.r)
+    step = lambda acc, x: F.struct((acc.g * (1 + x.r)).alias("g"), F.greatest(acc.peak, acc.g * (1 + x.r)).alias("peak"), F.least(acc.low, F.try_divide(acc.g * (1 + x.r), F.greatest(acc.peak, acc.g * (1 + x.r))) - 1).alias("low"))
+    low = F.aggregate("s", F.struct(F.lit(1.0).alias("g"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("low")), step, lambda acc: acc.low)
+    own = own.select("*", *[F.abs(q[x]).alias(level_name("var", x)) for x in settings.var_levels], *[F.abs(_mean_below(values, q[x])).alias(level_name("cvar", x)) for x in settings.cvar_levels], low.alias("max_drawdown")).drop("q", "s")
+    excess = F.col("mean_annual") - settings.risk_free_rate
+    return own.select("*", ratio(excess, F.col("annual_vol")).alias("sharpe"), ratio(excess, F.col("downside_deviation")).alias("sortino"), ratio(F.col("cagr"), F.abs("max_drawdown")).alias("calmar"))
 
 
 def return_metrics(returns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    return unpivot(return_metrics_wide(returns, settings), RETURN_METRICS, "return")
+    return unpivot(wide(returns, settings), RETURN_METRICS, "return")
+
+
+def _mean_below(values: Column, border: Column) -> Column:
+    """The mean of an array's values not above a border."""
+    own = F.filter(values, lambda x: x <= border)
+    return F.try_divide(F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x), F.size(own).cast("double"))
 
 
 def tail(returns: DataFrame, levels: list[float], keys: tuple[str, ...] = ("ticker",), value: str = "simple_return") -> DataFrame:
-    """The quantile q_{L} at 1 - L of each group and the mean t_{L} of the values not above it."""
-    own = returns.select(*keys, F.col(value).alias("r"))
-    points = own.groupBy(*keys).agg(*[F.percentile("r", F.lit(1 - x)).alias(f"q_{int(x * 100)}") for x in levels])
-    means = [F.avg(F.when(F.col("r") <= F.col(f"q_{int(x * 100)}"), F.col("r"))).alias(f"t_{int(x * 100)}") for x in levels]
-    if not keys:
-        return own.crossJoin(F.broadcast(points)).groupBy(*points.columns).agg(*means)
-    # one row per group against all rows: the small side is joined back
-    return own.join(points, list(keys)).groupBy(*keys, *[c for c in points.columns if c not in keys]).agg(*means)
+    """The quantile q_{L} at 1 - L of each group and the mean t_{L} of the values not above it, from one aggregation.
+
+    A group's values are held as an array, as its exact quantile needs them anyway.
+    """
+    r = F.col(value)
+    own = returns.groupBy(*keys).agg(F.percentile(r, F.array(*[F.lit(1 - x) for x in levels])).alias("q"), F.collect_list(r).alias("v"))
+    return own.select(*keys, *[F.col("q")[k].alias(f"q_{int(x * 100)}") for k, x in enumerate(levels)], *[_mean_below(F.col("v"), F.col("q")[k]).alias(f"t_{int(x * 100)}") for k, x in enumerate(levels)])
 
 
 def growth(returns: DataFrame, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
@@ -78,33 +101,27 @@ def drawdown_duration(returns: DataFrame) -> DataFrame:
     return runs.groupBy("ticker").agg(F.least(F.min("low"), F.lit(0.0)).alias("max_drawdown"), F.max(steps).cast("long").alias("max_duration"), F.coalesce(F.max_by("at_end", "last") >= 0, F.lit(True)).alias("recovered"))
 
 
-def risk_metrics_wide(returns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Volatilities, downside deviation, VaR and CVaR at each level (both positive), and the maximum drawdown."""
-    r, year = F.col("simple_return"), float(settings.days_per_year) ** 0.5
-    down = F.when(r < 0, r)
-    base = returns.groupBy("ticker").agg(F.stddev_samp(r).alias("daily_vol"), (F.stddev_samp(r) * year).alias("annual_vol"), F.when(F.count(down) > 1, F.stddev_samp(down) * year).alias("downside_deviation"))
-    levels = sorted({*settings.var_levels, *settings.cvar_levels})
-    t = tail(returns, levels).select("ticker", *[F.abs(f"q_{int(x * 100)}").alias(level_name("var", x)) for x in settings.var_levels], *[F.abs(f"t_{int(x * 100)}").alias(level_name("cvar", x)) for x in settings.cvar_levels])
-    low = growth(returns).groupBy("ticker").agg(F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"))
-    return base.join(t, "ticker").join(low, "ticker")
-
-
 def risk_names(settings: Settings = DEFAULTS) -> list[str]:
     return ["daily_vol", "annual_vol", "downside_deviation", *[level_name("var", x) for x in settings.var_levels], *[level_name("cvar", x) for x in settings.cvar_levels], "max_drawdown"]
 
 
 def risk_metrics(returns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    return unpivot(risk_metrics_wide(returns, settings), risk_names(settings), "risk")
+    """Volatilities, downside deviation, VaR and CVaR at each level (both positive), and the maximum drawdown."""
+    return unpivot(wide(returns, settings), risk_names(settings), "risk")
 
 
-def risk_adjusted_wide(returns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    both = return_metrics_wide(returns, settings).join(risk_metrics_wide(returns, settings), "ticker")
-    excess = F.col("mean_annual") - settings.risk_free_rate
-    return both.select("ticker", ratio(excess, F.col("annual_vol")).alias("sharpe"), ratio(excess, F.col("downside_deviation")).alias("sortino"), ratio(F.col("cagr"), F.abs("max_drawdown")).alias("calmar"))
+ADJUSTED = ["sharpe", "sortino", "calmar"]
 
 
 def risk_adjusted(returns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    return unpivot(risk_adjusted_wide(returns, settings), ["sharpe", "sortino", "calmar"], "risk_adjusted")
+    return unpivot(wide(returns, settings), ADJUSTED, "risk_adjusted")
+
+
+def metrics_per_ticker(returns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """All of them in long form, out of the one aggregation."""
+    kinds = {**dict.fromkeys(RETURN_METRICS, "return"), **dict.fromkeys(risk_names(settings), "risk"), **dict.fromkeys(ADJUSTED, "risk_adjusted")}
+    category = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return wide(returns, settings).unpivot("ticker", list(kinds), "metric_name", "value").withColumn("category", category[F.col("metric_name")])
 
 
 def drawdown_series(prices: DataFrame) -> DataFrame:
@@ -122,7 +139,7 @@ def beta_per_ticker(returns: DataFrame, benchmark: str) -> DataFrame:
 
 def invariants(returns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Tickers that break a rule: VaR at a higher level below one at a lower, CVaR below VaR, a positive drawdown."""
-    w = risk_metrics_wide(returns, settings)
+    w = wide(returns, settings)
     names = [level_name("var", x) for x in sorted(settings.var_levels)]
     rules = [F.when(F.col(b) < F.col(a), f"{b}<{a}") for a, b in zip(names, names[1:], strict=False)]
     rules += [F.when(F.col(level_name("cvar", x)) < F.col(level_name("var", x)), f"{level_name('cvar', x)}<{level_name('var', x)}") for x in settings.cvar_levels if x in settings.var_levels]
@@ -167,16 +184,18 @@ def rolling_corr(returns: DataFrame, benchmark: str, window: int = DEFAULTS.corr
 def rolling_metrics(returns: DataFrame, benchmark: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """All rolling metrics in long form, named with their windows."""
     s, b, c = settings.sharpe_window, settings.beta_window, settings.corr_window
-    long = returns.groupBy("ticker").count().where(F.col("count") >= s).select("ticker")
-    own = returns.join(long, "ticker", "left_semi")
-    parts = [(f"rolling_sharpe_{s}", rolling_sharpe(own, s, settings)), (f"rolling_volatility_{s}", rolling_volatility(own, s, settings))]
+    year, r, w = float(settings.days_per_year), F.col("simple_return"), last_rows(settings.sharpe_window)
+    many = F.count("*").over(Window.partitionBy("ticker"))
+    full = lambda k: F.count("*").over(last_rows(k)) == k
+    sharpe = ratio(F.avg(r).over(w) - settings.risk_free_rate / year, F.stddev_samp(r).over(w)) * year**0.5
+    # the metrics of one set of rows share its windows
+    own = returns.withColumn("_n", many).where(F.col("_n") >= s).select("date", "ticker", F.when(full(s), sharpe).alias(f"rolling_sharpe_{s}"), F.when(full(s), F.stddev_samp(r).over(w) * year**0.5).alias(f"rolling_volatility_{s}"))
+    out = own.unpivot(["date", "ticker"], own.columns[2:], "metric_name", "value")
     if benchmark:
-        parts += [(f"rolling_beta_{b}", rolling_beta(returns, benchmark, b, s)), (f"rolling_corr_{c}", rolling_corr(returns, benchmark, c, s))]
-    out = None
-    for name, part in parts:
-        part = part.select("date", "ticker", F.lit(name).alias("metric_name"), "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+        x = F.col("b")
+        both = _with_benchmark(returns, benchmark, s).select("date", "ticker", F.when(full(b), ratio(F.covar_samp(r, x).over(last_rows(b)), F.var_samp(x).over(last_rows(b)))).alias(f"rolling_beta_{b}"), F.when(full(c), correlation(r, x, last_rows(c))).alias(f"rolling_corr_{c}"))
+        out = out.unionByName(both.unpivot(["date", "ticker"], both.columns[2:], "metric_name", "value"))
+    return out.where("value IS NOT NULL")
 
 
 # ── portfolio ────────────────────────────────────────────────────────────────

@@ -17,7 +17,7 @@ from ..config import DEFAULTS, Settings
 from ..functions.calendar import business_day
 from ..functions.rng import normal, scenario_seed, uniform
 from .eda import correlation_pairs
-from .metrics import resolve_weights
+from .metrics import resolve_weights, tail
 
 METHODS = ("gbm", "bootstrap", "block_bootstrap")
 PORTFOLIO = "PORTFOLIO"
@@ -212,12 +212,11 @@ def terminal_distribution(paths: DataFrame, settings: Settings = DEFAULTS) -> Da
 
 def simulated_var_cvar(paths: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(scenario_name, ticker, method, metric_name, value): losses positive, so a quantile above 0 gives a negative VaR."""
-    t, keys = terminal(paths), ["scenario_name", "ticker", "method"]
+    keys, tag = ["scenario_name", "ticker", "method"], lambda x: int(round(x * 100))
     levels = sorted({*settings.var_levels, *settings.cvar_levels})
-    tag = lambda x: int(round(x * 100))
-    q = t.groupBy(*keys).agg(*[F.percentile("r", F.lit((1 - x) * 100 / 100)).alias(f"q{tag(x)}") for x in levels])
-    own = t.join(F.broadcast(q), keys).groupBy(*keys, *[f"q{tag(x)}" for x in levels]).agg(*[F.coalesce(F.avg(F.when(F.col("r") <= F.col(f"q{tag(x)}"), F.col("r"))), F.lit(0.0)).alias(f"t{tag(x)}") for x in settings.cvar_levels])
-    wide = own.select(*keys, *[(-F.col(f"q{tag(x)}")).alias(f"var_{tag(x)}") for x in settings.var_levels], *[(-F.col(f"t{tag(x)}")).alias(f"cvar_{tag(x)}") for x in settings.cvar_levels])
+    own = tail(terminal(paths), levels, tuple(keys), "r")
+    name = lambda kind, x: F.col(f"{kind}_{int(x * 100)}")
+    wide = own.select(*keys, *[(-name("q", x)).alias(f"var_{tag(x)}") for x in settings.var_levels], *[(-F.coalesce(name("t", x), F.lit(0.0))).alias(f"cvar_{tag(x)}") for x in settings.cvar_levels])
     return wide.unpivot(keys, [c for c in wide.columns if c not in keys], "metric_name", "value")
 
 

@@ -215,8 +215,7 @@ def _(s, d):
 
 @query("metrics_per_ticker", S.build(MONTH, *_ALL, select=" UNION ALL ".join([_long(metrics.RETURN_METRICS, "return", "rm", 3), _long(metrics.risk_names(), "risk", "risk", 3), _long(["sharpe", "sortino", "calmar"], "risk_adjusted", "adj", 3)])), 3)
 def _(s, d):
-    r = monthly(s, d)
-    return metrics.return_metrics(r).unionByName(metrics.risk_metrics(r)).unionByName(metrics.risk_adjusted(r))
+    return metrics.metrics_per_ticker(monthly(s, d))
 
 
 @query("metrics_sheet", S.build(WEEK, *_ALL, select="SELECT ticker, " + ", ".join(f"round({n}, 6) AS {n}" for n in ["sharpe", "sortino", "calmar"]) + " FROM adj"))

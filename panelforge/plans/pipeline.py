@@ -159,7 +159,7 @@ def run_metrics(spark: SparkSession, folders: Folders, settings: Settings = DEFA
     names = sorted(r.ticker for r in returns.select("ticker").distinct().collect())
     if settings.benchmark and settings.benchmark not in names:
         log.warning("the benchmark %s has no returns", settings.benchmark)
-    long = metrics.return_metrics(returns, settings).unionByName(metrics.risk_metrics(returns, settings)).unionByName(metrics.risk_adjusted(returns, settings))
+    long = metrics.metrics_per_ticker(returns, settings)
     portfolio = metrics.portfolio_metrics(returns, settings.weights, settings.benchmark, settings)
     drawdowns = metrics.drawdown_series(prices)
     rolled = metrics.rolling_metrics(returns, settings.benchmark, settings)
