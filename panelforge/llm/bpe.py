@@ -81,7 +81,7 @@ class WordBPE:
         starts = np.concatenate([[0], ends[:-1]])
         names = K.name(K.prefix(raw), starts, ends) ^ np.where([f for _, f in entries], _FINAL, np.uint64(0))
         # an open hash table from name to id
-        self.bits = 20
+        self.bits = 18
         self.slot_name = np.zeros(1 << self.bits, np.uint64)
         self.slot_id = np.full(1 << self.bits, -1, np.int64)
         todo, at = np.arange(len(names)), (names & np.uint64((1 << self.bits) - 1)).astype(np.int64)
@@ -162,7 +162,7 @@ class WordBPE:
         out = good[at] & old if len(seen) else np.zeros(len(pairs), bool)
         new = pairs[~old]
         out[~old] = self.compatible(new >> 32, new & 0xFFFFFFFF)
-        if len(seen) + len(new) > 1 << 21:
+        if len(seen) + len(new) > 1 << 18:
             seen, good = seen[:0], good[:0]
         seen, good = np.concatenate([seen, new]), np.concatenate([good, out[~old]])
         order = np.argsort(seen)
@@ -331,12 +331,13 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(spec)
         for batch in batches:
-            _, off = K.flat(batch.column(1))
+            off = K.flat(batch.column(1))[1]
             at = 0
             while at < len(off) - 1:
                 to = max(at + 1, int(np.searchsorted(off, off[at] + K.PIECE, "right")) - 1)
                 yield _encoded(bpe, batch.slice(at, to - at), keep)
                 at = to
+            del batch  # before the next one is read
 
     kept = ", ids array<int>, decoded string" if keep else ""
     return docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + kept)

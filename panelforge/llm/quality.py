@@ -47,7 +47,7 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(buf: np.ndarray, off: np.ndarray, total: np.ndarray, seen: np.ndarray) -> None:
     """Adds the index vectors around each word to `total`, and counts words in `seen`."""
-    for _, _, x, o in K.pieces(buf, off, 2 * K.PIECE):
+    for _, _, x, o in K.pieces(buf, off, 4 * K.PIECE):
         t, first = tokens(x, o)
         row = np.repeat(np.arange(len(o) - 1), np.diff(first))
         seen += np.bincount(t, minlength=VOCABULARY)
@@ -97,7 +97,7 @@ def finished(total: np.ndarray, seen: np.ndarray) -> np.ndarray:
 def pooled(buf: np.ndarray, off: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Features of each text: mean and spread of its words' vectors, the mean's length, sizes."""
     out = np.zeros((len(off) - 1, 2 * DIMENSIONS + 3), np.float32)
-    for a, b, x, o in K.pieces(buf, off, K.PIECE // 4):
+    for a, b, x, o in K.pieces(buf, off, K.PIECE // 2):
         t, first = tokens(x, o)
         per = np.diff(first)
         some = np.flatnonzero(per > 0)

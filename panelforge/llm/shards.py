@@ -102,6 +102,7 @@ def packed(docs: DataFrame, p: Plan) -> DataFrame:
                 out.append(np.int64(len(raw)).tobytes() + codec.compress(raw, asbytes=True))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(block[order][cut[:-1]], pa.int32()), pa.array(out, pa.binary())], ["block", "payload"])
+            del batch, buf, off, out  # before the next batch is read
 
     return with_block(docs, p).mapInArrow(run, "block int, payload binary")
 
@@ -252,6 +253,7 @@ def survey(docs: DataFrame, p: Plan, w: Windows) -> DataFrame:
         for batch in batches:
             block, ids = np.array(batch.column(0), np.int64), ids_of(batch.column(1))
             c = w.chunks(*K.flat(batch.column(2)))
+            del batch  # before the next one is read
             if not len(c.anchor):
                 continue
             at = block[c.row]
@@ -401,7 +403,7 @@ def answers(sent: DataFrame, compare: Callable, across_documents: bool) -> DataF
             ends = np.cumsum(size[order], dtype=np.int64)[cut[1:] - 1]
             at = 0
             while at < len(cut) - 1:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + K.PIECE, "right")))
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2 * K.PIECE, "right")))
                 q = order[cut[at] : cut[to]]
                 which, start, count = compare(buf[K.spans(begin[q], size[q].astype(np.int64))], np.concatenate([[0], np.cumsum(size[q], dtype=np.int64)]), total[q], doc[q])
                 found.append((block[q][which], content[q][which], start, count))

@@ -36,13 +36,13 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 #: Documents are handled about so many bytes at a time.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     if len(_POWERS[0]) < n:
-        size = max(n, PIECE * 2)
+        size = max(n, PIECE + PIECE // 8)
         for k, base in enumerate((_BASE, _INVERSE)):
             step = np.full(size, base, U64)
             step[0] = 1
@@ -66,7 +66,8 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if pa.types.is_null(column.type):
         column = column.cast(pa.string())
-    column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    if column.null_count:
+        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -114,6 +114,8 @@ def _finder(sent, match: int, coverage: float):
         sizes = np.diff(own.first)
         for batch in batches:
             names, first = names_of(*K.flat(batch.column(1)))
+            doc_ids = batch.column(0)
+            del batch  # before the next one is read
             rows = []
             if len(own.seed) and len(names) >= match:
                 g = K.grams(names, match)
@@ -145,7 +147,7 @@ def _finder(sent, match: int, coverage: float):
                     if words >= coverage * sizes[k]:
                         rows.append((int(doc[i]), own.ids[k], words / int(sizes[k]), len(found), words))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            ids = batch.column(0).take(pa.array(cols[0], pa.int64()))
+            ids = doc_ids.take(pa.array(cols[0], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["doc_id", "item_id", "coverage", "n_tiles", "tiled_words"])
 
     return run

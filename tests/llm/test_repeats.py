@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelforge.llm import fm_index, shards, suffix
@@ -97,7 +98,7 @@ def test_segments_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(K, "PIECE", 300)
     rows = corpus(5)
     for scheme in (shards.Windows(13, 5, True), shards.Windows(40, 10, False)):
-        data, off = K.flat(__import__("pyarrow").array([t for _, t in rows]))
+        data, off = K.flat(pa.array([t for _, t in rows]))
         c = scheme.chunks(data, off)
         marks = np.zeros(len(rows), np.int64)
         np.add.at(marks, c.row, c.count)
