@@ -3,12 +3,14 @@
 Every distinct word piece is cut greedily into the longest vocabulary entries (all pieces side by side, as
 numpy lanes).  A cut is the BPE result exactly if no merge would ever cross one of its inner borders, and
 whether a merge crosses a border depends on the two tokens beside it alone; those pair checks run
-vectorised over the distinct adjacent pairs.  Only pieces with a failing pair are merged one by one.
+vectorised over the distinct adjacent pairs.  Only pieces with a failing pair are merged exactly, by rank and
+side by side; very long ones one by one with a heap.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -63,9 +65,9 @@ class WordBPE:
             if self.rank[k] < 0:
                 self.rank[k], self.left[k], self.right[k] = r, i, j
         codes = np.array([i << 32 | j for i, j in self.merge], np.int64)
-        ranks = np.array([r for r, _ in self.merge.values()], np.int64)
+        ranks, made = (np.array([m[k] for m in self.merge.values()], np.int64) for k in range(2))
         order = np.argsort(codes)
-        self.codes, self.ranks = codes[order], ranks[order]
+        self.codes, self.ranks, self.made = codes[order], ranks[order], made[order]
         # the entries that greedy matching may propose: those that BPE makes of their own text
         self.longest, entries = 1, {}
         for t, i in vocab.items():
@@ -96,20 +98,86 @@ class WordBPE:
         self.known: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, bool))
 
     def exact(self, raw: bytes, final: bool = True) -> list[int]:
-        """The merges in order of rank, the leftmost first among equals."""
+        """The merges in order of rank, the leftmost first among equals; a heap holds the pairs that can merge."""
         out = [int(self.inner[b]) for b in raw]
         if final and out:
             out[-1] = int(self.last[raw[-1]])
-        while len(out) > 1:
-            best, where, made = None, -1, -1
-            for k in range(len(out) - 1):
-                m = self.merge.get((out[k], out[k + 1]))
-                if m is not None and (best is None or m[0] < best):
-                    best, (where, made) = m[0], (k, m[1])
-            if best is None:
-                break
-            out[where : where + 2] = [made]
-        return out
+        n = len(out)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (m := self.merge.get((out[i], out[j]))) is not None:
+                heapq.heappush(heap, (m[0], i, out[i], out[j], m[1]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            j = after[i]
+            if out[i] != a or j >= n or out[j] != b:
+                continue  # one of the two has merged since
+            out[i], out[j], after[i] = made, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [t for t in out if t >= 0]
+
+    def exact_all(self, buf: np.ndarray, off: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exact() of many pieces side by side: ids one after the other, and how many each has."""
+        size = off[lanes + 1] - off[lanes]
+        count, parts = np.zeros(len(lanes), np.int64), []
+        for low, high in ((0, 6), (6, 9), (9, 12), (12, 16), (16, 24)):
+            own = np.flatnonzero((size > low) & (size <= high))
+            if not len(own):
+                continue
+            col = np.arange(high)
+            there = col < size[own, None]
+            raw = buf[np.where(there, off[lanes[own], None] + col, 0)]
+            token = np.where(there, np.where(col == size[own, None] - 1, self.last[raw], self.inner[raw]), -1)
+            rank = self.pair_rank(token[:, :-1], token[:, 1:])[0]
+            at, rows = rank.argmin(1), np.arange(len(own))
+            live = np.flatnonzero(rank[rows, at] < _NONE)
+            while len(live):
+                j = at[live]
+                token[live, j] = self.pair_rank(token[live, j], token[live, j + 1])[1]
+                # what lies right of the pair moves one to the left
+                move = np.minimum(col + (col > j[:, None]), high - 1)
+                part = np.take_along_axis(token[live], move, 1)
+                part[:, -1] = -1
+                token[live] = part
+                own_rank = np.take_along_axis(rank[live], move[:, :-1].clip(max=high - 2), 1)
+                own_rank[:, -1] = _NONE
+                k = np.arange(len(live))
+                own_rank[k, np.minimum(j, high - 2)] = self.pair_rank(part[k, np.minimum(j, high - 2)], part[k, np.minimum(j, high - 2) + 1])[0]
+                prior = np.maximum(j - 1, 0)
+                own_rank[k, prior] = self.pair_rank(part[k, prior], part[k, prior + 1])[0]
+                rank[live] = own_rank
+                at[live] = own_rank.argmin(1)
+                live = live[own_rank[k, at[live]] < _NONE]
+            full = token >= 0
+            count[own] = full.sum(1)
+            parts.append((own, token[full]))
+        long = np.flatnonzero(size > 24)
+        if len(long):
+            done = [self.exact(buf[off[k] : off[k + 1]].tobytes()) for k in lanes[long].tolist()]
+            count[long] = [len(x) for x in done]
+            parts.append((long, np.array([t for x in done for t in x], np.int64)))
+        begin = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        for own, tokens in parts:
+            out[K.spans(begin[own], count[own])] = tokens
+        return out, count
+
+    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of the merge of each pair (_NONE: none) and what it makes."""
+        code = a << 32 | b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = (self.codes[at] == code) & (a >= 0) & (b >= 0)
+        return np.where(hit, self.ranks[at], _NONE), self.made[at]
 
     def lookup(self, names: np.ndarray) -> np.ndarray:
         mask = (1 << self.bits) - 1
@@ -208,10 +276,9 @@ class WordBPE:
         self.failed = len(failing)
         counts = np.bincount(lane, minlength=n)
         if len(failing):
-            raw = buf.tobytes()
-            redo = [self.exact(raw[off[k] : off[k + 1]]) for k in failing.tolist()]
+            redo, redo_counts = self.exact_all(buf, off, failing)
             counts_new = counts.copy()
-            counts_new[failing] = [len(x) for x in redo]
+            counts_new[failing] = redo_counts
             out_off = np.concatenate([[0], np.cumsum(counts_new)])
             out = np.empty(out_off[-1], np.int64)
             keep = np.ones(n, bool)
@@ -219,7 +286,7 @@ class WordBPE:
             rows = np.flatnonzero(keep)
             old = np.cumsum(counts) - counts
             out[K.spans(out_off[rows], counts[rows])] = ids[K.spans(old[rows], counts[rows])]
-            out[K.spans(out_off[failing], counts_new[failing])] = np.array([t for x in redo for t in x], np.int64)
+            out[K.spans(out_off[failing], redo_counts)] = redo
             return out, out_off
         return ids, np.concatenate([[0], np.cumsum(counts)])
 

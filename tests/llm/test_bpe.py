@@ -68,3 +68,16 @@ def test_documents(spark, library):
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_exact_merging_side_by_side(own, library):
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdeinorsté" if k % 3 else "ab", k=r.randrange(1, 40))).encode() for k in range(1500)] + [b"a" * 20000]
+    off = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    ids, count = own.exact_all(np.frombuffer(b"".join(words), np.uint8), off, np.arange(len(words)))
+    cut = np.concatenate([[0], np.cumsum(count)])
+    for k, w in enumerate(words):
+        assert ids[cut[k] : cut[k + 1]].tolist() == own.exact(w)
+    for w in words[:300]:
+        text = w.decode("utf-8", "ignore")
+        assert own.exact(text.encode()) == library.encode(text, add_special_tokens=False).ids
