@@ -110,7 +110,7 @@ def pivot_table(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, v array<int>, d array<double>")
 
 
-def top_k(table: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(table: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 32, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of `table` for every row of `queries`, ties to the smaller vec_id.
 
     A query's own vec_id is no candidate.  Vectors are compared with vectors of the same length.  Rows that
@@ -142,9 +142,16 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 64, i
 def _searcher(ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(ids, q, pivots, k)
+        first = True
         for batch in batches:
             if batch.num_rows:
-                search.add(np.array(batch.column(0), np.int64), _matrix(batch.column(1)), _matrix(batch.column(2)))
+                own, x, table = np.array(batch.column(0), np.int64), _matrix(batch.column(1)), _matrix(batch.column(2))
+                # a few vectors first: their k-th score lets the bounds drop most of the others
+                cut = [0, min(256, len(own)), len(own)] if first else [0, len(own)]
+                for i, j in zip(cut, cut[1:], strict=False):
+                    if i < j:
+                        search.add(own[i:j], x[i:j], table[i:j])
+                first = False
         counts = [len(x) for x in search.best_id]
         if sum(counts):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(search.best_id)), pa.array(np.concatenate(search.best_score))], ["query_id", "vec_id", "score"])
