@@ -1,17 +1,23 @@
 """LM scoring by cross-entropy difference.
 
-Two trigram models, one of target documents and one of all documents, share one vocabulary (the most frequent
-words of all documents, VOCABULARY at most; others are one unknown word), one smoothing and one size: the background's counts are
+Two trigram models, one of target documents and one of all documents, share one vocabulary (every word of all
+documents; VOCABULARY may set a limit), one smoothing and one size: the background's counts are
 scaled to the target's number of tokens, so that neither model is smoothed more than the other.  A
 document's score is the mean over its tokens of the target's loss less the background's: lower is closer
 to the target.
 
-Counts cover all documents.  Word counts are added up by Spark in buckets of words; counts of n-grams go to
-tables of SLOTS counters by hash, so that the models that are broadcast have one size for any corpus.
+Counts are exact, cover all documents and every word, bigram and trigram, and grow with the corpus, so no task holds a model:
+
+1. asks     a block of documents sends each of its n-grams once, with its counts there, to the bucket of the n-gram's name;
+2. replies  a bucket adds up and answers each block with the sums, in the order of its question;
+3. scores   the block reads its documents again and takes the losses from its replies.
+
+A frequent n-gram costs one entry for each block.  The driver gets three sums.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +29,18 @@ from pyspark.sql import functions as F
 from . import shards
 from . import textkit as K
 
-#: Words in the vocabulary, counters for n-grams of either order, strength of the smoothing.
-VOCABULARY, SLOTS, STRENGTH = 1 << 16, 1 << 20, 4.0
-#: Ids: words from 2 on.
+#: Most words in the vocabulary (None: all; others are one unknown word), strength of the smoothing.
+VOCABULARY: int | None = None
+STRENGTH = 4.0
+#: Ids: words from 2 on; without a limit a word's id is its name.
 BEGIN, UNKNOWN = 0, 1
-_PARTS = 32
+#: The smoothing below unigrams is uniform over so many words, or over the vocabulary if that is larger.
+SIZES = ((1 << 16) + 2,)
+#: Bytes of text for a block, and for which a bucket takes the n-grams.
+BLOCK, BUCKET = 12 << 20, 8 << 20
+#: What a row of a block holds, where it is no reply.
+_TEXTS, _TARGET = -2, -1
+_ROW = "block int, bucket int, payload binary"
 
 
 def word_counts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -79,110 +92,155 @@ def names_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return K.name(K.prefix(x), starts, ends), first
 
 
+def context(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids before each token and before that (BEGIN before a text)."""
+    place = np.arange(len(w)) - np.repeat(first[:-1], np.diff(first))
+    begin = w.dtype.type(BEGIN)
+    return np.where(place >= 1, np.roll(w, 1), begin), np.where(place >= 2, np.roll(w, 2), begin)
+
+
 @dataclass
 class Vocabulary:
-    """Sorted names of the words and their ids."""
+    """Sorted names of the words and their ids, where the vocabulary has a limit."""
 
     names: np.ndarray
     ids: np.ndarray
 
     def trigrams(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token its id and the ids of the two before it (BEGIN before a text), and tokens before each text."""
+        """Of each token its id and the ids of the two before it, and tokens before each text."""
         names, first = names_of(buf, off)
         at = shards.match(self.names, names)
         w = np.where(at >= 0, self.ids[np.maximum(at, 0)], UNKNOWN) if len(self.names) else np.full(len(names), UNKNOWN)
-        place = np.arange(len(w)) - np.repeat(first[:-1], np.diff(first))
-        v = np.where(place >= 1, np.roll(w, 1), BEGIN)
-        u = np.where(place >= 2, np.roll(w, 2), BEGIN)
-        return w, v, u, first
+        return w, *context(w, first), first
+
+
+def trigrams(vocabulary: Vocabulary | None, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Vocabulary.trigrams(), where the vocabulary may be all words."""
+    if vocabulary is not None:
+        return vocabulary.trigrams(buf, off)
+    w, first = names_of(buf, off)
+    return w, *context(w, first), first
+
+
+def _name(x: np.ndarray, word: bool) -> np.ndarray:
+    # the last bit tells words from longer n-grams
+    return K.mix(x) | np.uint64(1) if word else K.mix(x) & ~np.uint64(1)
 
 
 def slot(v: np.ndarray, w: np.ndarray, u: np.ndarray | None = None) -> np.ndarray:
-    """The counter of a bigram or trigram."""
-    code = v.astype(np.uint64) << np.uint64(20) | w.astype(np.uint64)
+    """The name of a bigram or trigram."""
+    code = v.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     if u is not None:
-        code |= (u.astype(np.uint64) + np.uint64(1)) << np.uint64(40)
-    return (K.mix(code + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(SLOTS - 1)).astype(np.int64)
+        code += u.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
+    return _name(code, False)
 
 
-SIZES = (VOCABULARY + 2, SLOTS, SLOTS)
+def named(vocabulary: Vocabulary | None, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the word, the bigram and the trigram that end at each token (three rows), and tokens of each text."""
+    names, count = [np.zeros((3, 0), np.uint64)], [np.zeros(0, np.int64)]
+    for _, _, x, o in K.pieces(buf, off):
+        w, v, u, first = trigrams(vocabulary, x, o)
+        names.append(np.stack([_name(w.astype(np.uint64), True), slot(v, w), slot(v, w, u)]))
+        count.append(np.diff(first))
+    return np.concatenate(names, axis=1), np.concatenate(count)
 
 
-def counted(vocabulary: Vocabulary, buf: np.ndarray, off: np.ndarray, total: list[np.ndarray]) -> None:
-    """Adds a text's unigrams, bigrams and trigrams."""
-    for _, _, x, o in K.pieces(buf, off, 8 * K.PIECE):
-        w, v, u, _ = vocabulary.trigrams(x, o)
-        for t, k in zip(total, (w, slot(v, w), slot(v, w, u)), strict=True):
-            t += np.bincount(k, minlength=len(t))
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """64-bit integers of one length, compressed byte by byte of the integers."""
+    x = np.stack([a.astype(np.uint64) for a in arrays])
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(*x.shape, 8).transpose(0, 2, 1))
+    return np.int64(x.shape[1]).tobytes() + pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
 
 
-@dataclass
-class Model:
-    """Counts, scaled, and the probabilities that they give; every order is smoothed towards the one below."""
-
-    one: np.ndarray
-    two: np.ndarray
-    three: np.ndarray
-    tokens: float
-
-    @staticmethod
-    def of(total: list[np.ndarray], tokens: float) -> Model:
-        scale = tokens / max(1.0, float(total[0].sum()))
-        return Model(*(t.astype(np.float32) * np.float32(scale) for t in total), tokens)
-
-    def loss(self, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Minus the logarithm of each token's probability."""
-        p = (self.one[w].astype(np.float64) + STRENGTH / len(self.one)) / (self.tokens + STRENGTH)
-        # tokens seen after BEGIN stand for BEGIN's own count
-        p = (self.two[slot(v, w)] + STRENGTH * p) / (np.where(v == BEGIN, self.tokens / 100, self.one[v]) + STRENGTH)
-        p = (self.three[slot(v, w, u)] + STRENGTH * p) / (np.where(v == BEGIN, self.tokens / 100, self.two[slot(u, v)]) + STRENGTH)
-        return -np.log(np.minimum(p, 1.0))
-
-
-def models(docs: DataFrame, target: DataFrame) -> tuple[Vocabulary, Model, Model]:
-    """The shared vocabulary, the target's model and the background's; docs: doc_id, text; target: ids in doc_id."""
-    p = shards.plan(docs)
+def loosened(value: pa.Scalar, k: int) -> np.ndarray:
+    """The k arrays of squeezed(), as rows."""
+    x = value.as_buffer()
+    n = int(np.frombuffer(x, np.int64, 1)[0])
+    planes = np.frombuffer(pa.Codec("zstd").decompress(x.slice(8), 8 * k * n), np.uint8).reshape(k, 8, n)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
+
+
+def losses(count: np.ndarray, tokens: float, scale: float, words: int, begin: np.ndarray) -> np.ndarray:
+    """Minus the logarithm of each token's probability; every order is smoothed towards the one below.
+
+    count: of the word, bigram and trigram that end at each token; begin: whether a text begins there.
+    """
+    one, two, three = count * scale
+    p = (one + STRENGTH / max(SIZES[0], words + 2)) / (tokens + STRENGTH)
+    # tokens seen after BEGIN stand for BEGIN's own count
+    p = (two + STRENGTH * p) / (np.where(begin, tokens / 100, np.roll(one, 1)) + STRENGTH)
+    p = (three + STRENGTH * p) / (np.where(begin, tokens / 100, np.roll(two, 1)) + STRENGTH)
+    return -np.log(np.minimum(p, 1.0))
+
+
+def sizes(docs: DataFrame) -> shards.Plan:
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return shards.Plan(max(parts, math.ceil(size / BLOCK)), max(parts, math.ceil(size / BUCKET)))
+
+
+def limited(docs: DataFrame, p: shards.Plan) -> Vocabulary | None:
+    """The most frequent words, if the vocabulary has a limit."""
+    if VOCABULARY is None:
+        return None
     top = sorted(frequent(shards.durable(word_counts(docs, p.buckets)), VOCABULARY), key=lambda r: (-r.n, r.name))
     names = np.array([r.name for r in top], np.int64).view(np.uint64)
     order = np.argsort(names)
-    vocabulary = Vocabulary(names[order], np.arange(2, len(names) + 2)[order])
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(vocabulary)
-    width = sum(SIZES)
-    edges = np.linspace(0, width, _PARTS + 1).astype(int)
+    return Vocabulary(names[order], np.arange(2, len(names) + 2)[order])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(n, np.int64) for n in SIZES]
-        own = [np.zeros(n, np.int64) for n in SIZES]
-        for batch in batches:
-            counted(sent.value, *K.flat(batch.column(0)), total)
-            chosen = batch.column(0).filter(batch.column(1))
-            if len(chosen):
-                counted(sent.value, *K.flat(chosen), own)
-        if total[0].any():
-            codec = pa.Codec("zstd", compression_level=1)
-            both = [np.concatenate(x).astype(np.uint32) for x in (total, own)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([codec.compress(np.concatenate([x[a:b] for x in both]).tobytes(), asbytes=True) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["part", "payload"])
 
-    def add(table: pa.Table) -> pa.Table:
-        k, codec = table["part"][0].as_py(), pa.Codec("zstd")
-        n = 2 * (edges[k + 1] - edges[k])
-        total = np.zeros(n, np.int64)
-        for x in table["payload"]:
-            total += np.frombuffer(codec.decompress(x.as_buffer(), 4 * int(n)), np.uint32)
-        return pa.table({"part": table["part"][:1], "payload": pa.array([total.tobytes()], pa.binary())})
-
-    # ids of the target grow with the input, so they are never broadcast
-    ids = target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("own", F.lit(True)).hint("merge")
-    marked = docs.join(ids, "doc_id", "left").select("text", F.coalesce("own", F.lit(False)).alias("own"))
-    both = [np.zeros(width), np.zeros(width)]
-    for r in marked.mapInArrow(count, "part int, payload binary").groupBy("part").applyInArrow(add, "part int, payload binary").collect():
-        for x, y in zip(both, np.split(np.frombuffer(r.payload, np.int64), 2), strict=True):
-            x[edges[r.part] : edges[r.part + 1]] = y
-    cut = np.cumsum(SIZES)[:-1]
-    background, own = (np.split(x, cut) for x in both)
-    tokens = float(own[0].sum())
-    return vocabulary, Model.of(own, tokens), Model.of(background, tokens)
+def targets(target: DataFrame, p: shards.Plan) -> DataFrame:
+    """The ids of the target by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, ids = np.array(batch.column(0), np.int64), np.array(batch.column(1), np.int64)
+            order, at = K.by_bucket(block, p.blocks)
+            some = np.flatnonzero(np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), _TARGET), pa.int32()), pa.array([K.pack(ids=ids[order[at[k] : at[k + 1]]]) for k in some], pa.binary())], ["block", "bucket", "payload"])
+
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").withColumn("text", F.lit(""))
+    return shards.with_block(ids, p).select("block", "doc_id").mapInArrow(run, _ROW)
+
+
+def replied(blocks: DataFrame, p: shards.Plan, sent) -> DataFrame:
+    """(block, bucket, payload, words, tokens, own): the counts of each block's n-grams, and sums over each bucket's words in one of its rows."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        ids, buf, off, chosen = read(table)
+        names, count = named(sent.value, buf, off)
+        name, back = np.unique(names.ravel(), return_inverse=True)
+        del names
+        n = np.bincount(back, minlength=len(name))
+        own = np.bincount(back[np.tile(np.repeat(chosen, count), 3)], minlength=len(name))
+        del back
+        # names are spread evenly, so buckets are ranges of them
+        at = np.searchsorted(((name >> np.uint64(32)) * np.uint64(p.buckets)) >> np.uint64(32), np.arange(p.buckets + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(at))
+        parts = [slice(at[k], at[k + 1]) for k in some]
+        block = table["block"][0].as_py()
+        return pa.table({"block": pa.array(np.full(len(some), block), pa.int32()), "bucket": pa.array(some, pa.int32()), "payload": pa.array([squeezed(np.diff(name[s], prepend=np.uint64(0)), n[s], own[s]) for s in parts], pa.binary())})
+
+    def reply(table: pa.Table) -> pa.Table:
+        got = [loosened(x, 3) for x in table["payload"]]
+        cut = np.cumsum([0, *(x.shape[1] for x in got)])
+        name, back = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got]), return_inverse=True)
+        n, own = (np.bincount(back, np.concatenate([x[k] for x in got])).astype(np.int64) for k in (1, 2))
+        word = (name & np.uint64(1)).astype(bool)
+        first = np.arange(len(got)) == 0
+        sums = [np.where(first, x, 0) for x in (word.sum(), n[word].sum(), own[word].sum())]
+        answers = [squeezed(n[back[a:b]], own[back[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "payload": pa.array(answers, pa.binary())} | {k: pa.array(x, pa.int64()) for k, x in zip(("words", "tokens", "own"), sums, strict=True)})
+
+    return blocks.groupBy("block").applyInArrow(ask, _ROW).groupBy("bucket").applyInArrow(reply, _ROW + ", words long, tokens long, own long")
+
+
+def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, bytes and offsets of a block, and which documents are the target's."""
+    kind, payload = np.array(table["bucket"], np.int64), table["payload"]
+    ids, buf, off = shards.unpacked(payload.take(pa.array(np.flatnonzero(kind == _TEXTS))))
+    chosen = K.unpack_all(payload.take(pa.array(np.flatnonzero(kind == _TARGET))), [np.int64])[0]
+    return ids, buf, off, np.isin(ids, chosen) & (ids != shards.NO_ID)
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,20 +251,37 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     target documents both models are uniform and every score is 0.
     """
     docs = shards.documents(docs, id_col, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(models(docs, target))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, own, background = sent.value
-        for batch in batches:
-            count, a, b = [], [], []
-            for _, _, x, o in K.pieces(*K.flat(batch.column(1))):
-                w, v, u, first = vocabulary.trigrams(x, o)
-                row = np.repeat(np.arange(len(o) - 1), np.diff(first))
-                count.append(np.diff(first))
-                a.append(np.bincount(row, own.loss(w, v, u), len(o) - 1))
-                b.append(np.bincount(row, background.loss(w, v, u), len(o) - 1))
-            n, a, b = (np.concatenate(x) if x else np.zeros(0) for x in (count, a, b))
-            none, per = n == 0, np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *(pa.array(x / per, mask=none) for x in (a, b, a - b))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    p = sizes(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(limited(docs, p))
+    blocks = shards.packed(docs, p).select("block", F.lit(_TEXTS).alias("bucket"), "payload").unionByName(targets(target, p))
+    # the questions' shuffle files are larger than all that follows, and of no use once the replies are written
+    conf, key = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        replies = shards.durable(replied(blocks, p, sent))
+    finally:
+        conf.set(key, before)
+    sums = replies.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "tokens", "own"))).first()
+    words, tokens, scale = sums.words, float(sums.own), sums.own / max(1, sums.tokens)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, buf, off, _ = read(table)
+        names, n = named(sent.value, buf, off)
+        kind = np.array(table["bucket"], np.int64)
+        rows = np.flatnonzero(kind >= 0)
+        got = [loosened(x, 2) for x in table["payload"].take(pa.array(rows[np.argsort(kind[rows])]))]
+        count = np.concatenate(got, axis=1).astype(np.int64) if got else np.zeros((2, 0), np.int64)
+        name, back = np.unique(names.ravel(), return_inverse=True)
+        if len(name) != count.shape[1]:
+            raise ValueError("the documents changed between two reads")
+        back = back.reshape(names.shape)
+        del names, name, got, buf
+        begin = np.zeros(back.shape[1], bool)
+        begin[(np.cumsum(n) - n)[n > 0]] = True
+        row = np.repeat(np.arange(len(n)), n)
+        b, a = (np.bincount(row, losses(c[back], tokens, s, words, begin), len(n)) for c, s in zip(count, (scale, 1.0), strict=True))
+        none, per = n == 0, np.maximum(n, 1)
+        return pa.table({"doc_id": shards.ids_back(ids), "n_tokens": pa.array(n.astype(np.int64))} | {k: pa.array(x / per, mask=none) for k, x in (("target_loss", a), ("background_loss", b), ("score", a - b))})
+
+    return blocks.unionByName(replies.select("block", "bucket", "payload")).groupBy("block").applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

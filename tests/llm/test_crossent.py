@@ -85,3 +85,20 @@ def test_texts_keep_apart():
     v = C.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     w, p, q, first = v.trigrams(*K.flat(pa.array(["a b c", None, "d", "e f"])))
     assert p.tolist() == [0, 1, 1, 0, 0, 1] and q.tolist() == [0, 0, 1, 0, 0, 0] and first.tolist() == [0, 3, 3, 4, 6]
+
+
+def test_counts_grow_with_the_corpus(spark):
+    # 70,000 words, more than 2^16, each twice
+    rows = [(i, " ".join(f"w{(i % 700) * 100 + k}" for k in range(100))) for i in range(1400)]
+    got = C.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0,), (1,)], "doc_id long")).collect()
+    scale, base = 200 / 140000, C.STRENGTH / 70002
+    for r in got:
+        for loss, c, s in ((r.target_loss, 1 if r.doc_id % 700 < 2 else 0, 1.0), (r.background_loss, 2, scale)):
+            c, total = c * s, 0.0
+            for k in range(100):
+                p = (c + base) / (200 + C.STRENGTH)
+                p = (c + C.STRENGTH * p) / ((2 if k == 0 else c) + C.STRENGTH)
+                p = (c + C.STRENGTH * p) / ((2 if k == 0 else c) + C.STRENGTH)
+                total -= math.log(p)
+            assert loss == pytest.approx(total / 100, rel=1e-9)
+    assert len(got) == 1400
