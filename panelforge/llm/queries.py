@@ -36,7 +36,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
-    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0")).withColumn("score", F.col("score").cast("long"))
 
 
 def op3_crossent(spark: SparkSession, sf_dir: str) -> DataFrame:

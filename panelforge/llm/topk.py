@@ -4,28 +4,53 @@ Distances from every vector to many pivots are tabulated.  By the triangle inequ
 a query and a vector is at least max_p |d(query, p) - d(vector, p)|, and as
 2 <q, x> = |q|^2 + |x|^2 - d(q, x)^2 that is an upper bound of the score.  Candidates are evaluated in the order
 of their bounds until the next bound is below the k-th score found so far.
+
+That is exact in doubles for integer components below EXACT.  Pairs with a larger vector are scored by Python's integers,
+of those candidates that a bound on the rounding of doubles leaves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries are sent to the executors in blocks of so many, so a broadcast never exceeds QUERIES vectors.
 QUERIES = 4096
-#: Integer components beyond this take no part: with them, sums over up to 512 components are exact in doubles.
-LIMIT = 2**22
+#: Integer components beyond this take no part: there is no such limit.
+LIMIT = math.inf
+#: With integer components below this, sums over up to 512 components are exact in doubles.
+EXACT = 2**22
+_FOUND = "query_id long, vec_id long, score decimal(38,0), place binary"
 
 
-def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and floor(1024 x) of each component; rows with a null id, vector or component, a non-finite component or one beyond LIMIT are left out."""
+def finite_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id and floor(1024 x) / 1024 of each component, which doubles hold exactly; rows with a null id, vector or component or a non-finite component are left out."""
     x = F.col(vector_col).cast("array<double>")
-    ok = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(F.abs(v) < F.lit(LIMIT / 1024), F.lit(False)))
-    return table.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * F.lit(1024.0)).cast("int")).alias("v"))
+    ok = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(F.abs(v) < F.lit(math.inf), F.lit(False)))
+    cut = F.transform(x, lambda v: F.when(F.abs(v) < F.lit(2.0**43), F.floor(v * F.lit(1024.0)).cast("double") / F.lit(1024.0)).otherwise(v))
+    return table.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), cut.alias("x"))
+
+
+def _near(x: Column) -> Column:
+    """Whether all components are below EXACT, in vectors short enough for exact sums."""
+    return F.forall(x, lambda v: F.abs(v) < F.lit(EXACT / 1024)) & (F.size(x) <= 512)
+
+
+def integers(x: list[float]) -> list[int]:
+    """1024 x, exactly."""
+    return [int(v * 1024) if abs(v) < 2.0**900 else int(v) * 1024 for v in x]
+
+
+def place(score: int) -> bytes:
+    """Bytes that sort as the integers do."""
+    n = (abs(score).bit_length() + 7) // 8
+    return (0x8000 + n).to_bytes(2, "big") + score.to_bytes(n, "big") if score >= 0 else (0x8000 - n).to_bytes(2, "big") + (256**n - 1 + score).to_bytes(n, "big")
 
 
 def choose_pivots(sample: np.ndarray, m: int) -> np.ndarray:
@@ -114,31 +139,81 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 32, i
     """query_id, rank, vec_id, score: the k best rows of `table` for every row of `queries`, ties to the smaller vec_id.
 
     A query's own vec_id is no candidate.  Vectors are compared with vectors of the same length.  Rows that
-    integer_vectors() leaves out take no part, neither as query nor as candidate; of rows with one query id
-    one counts (the smallest vector); repeated candidates stay.  Empty tables give no rows.
+    finite_vectors() leaves out take no part, neither as query nor as candidate; of rows with one query id
+    one counts (the smallest vector); repeated candidates stay.  Empty tables give no rows.  A score of more
+    than 38 digits is null; ranks are exact all the same.
     """
-    vectors = integer_vectors(table, id_col, vector_col)
-    asked = integer_vectors(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sizes = [r[0] for r in asked.select(F.size("v")).distinct().collect()]
-    out = None
+    vectors = finite_vectors(table, id_col, vector_col)
+    near = vectors.where(_near(F.col("x"))).select("vec_id", F.transform("x", lambda v: (v * F.lit(1024.0)).cast("int")).alias("v"))
+    wide = vectors.where(~_near(F.col("x")))
+    asked = finite_vectors(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("x").alias("x"))
+    sizes = [r[0] for r in asked.select(F.size("x")).distinct().collect()]
+    wide_sizes = {r[0] for r in wide.select(F.size("x")).distinct().collect()} if sizes else set()
+    found = []
     for size in sorted(sizes):
-        own = asked.where(F.size("v") == size).select("vec_id", "v")
+        own = asked.where(F.size("x") == size).select("vec_id", "x", _near(F.col("x")).alias("near"))
         blocks = -(-own.count() // QUERIES)
         split = F.pmod(F.xxhash64("vec_id"), F.lit(2 * blocks if blocks > 1 else 1))
         for b in range(2 * blocks if blocks > 1 else 1):
             rows = own.where(split == b).orderBy("vec_id").collect() if blocks > 1 else own.orderBy("vec_id").collect()
-            if not rows:
-                continue
-            ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-            chosen = choose_pivots(q, pivots)
-            found = pivot_table(vectors.where(F.size("v") == size), chosen).mapInArrow(_searcher(ids, q, chosen, k), "query_id long, vec_id long, score long")
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            some = [r for r in rows if r.near]
+            far = [r for r in rows if not r.near]
+            if some:
+                ids, q = np.array([r.vec_id for r in some], np.int64), np.array([r.x for r in some], np.float64)
+                chosen = choose_pivots(q * 1024, pivots)
+                found.append(pivot_table(near.where(F.size("v") == size), chosen).mapInArrow(_searcher(ids, q * 1024, chosen, k), _FOUND))
+                if size in wide_sizes:
+                    found.append(wide.where(F.size("x") == size).mapInArrow(_far(ids, q, k), _FOUND))
+            if far:
+                ids, q = np.array([r.vec_id for r in far], np.int64), np.array([r.x for r in far], np.float64)
+                found.append(vectors.where(F.size("x") == size).mapInArrow(_far(ids, q, k), _FOUND))
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score decimal(38,0)")
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    w = Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _found(query: np.ndarray, who: np.ndarray, scores: list[int]) -> pa.RecordBatch:
+    fit = [Decimal(s) if abs(s) < 10**38 else None for s in scores]
+    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(who, pa.int64()), pa.array(fit, pa.decimal128(38, 0)), pa.array([place(s) for s in scores], pa.binary())], ["query_id", "vec_id", "score", "place"])
+
+
+def _far(ids: np.ndarray, q: np.ndarray, k: int):
+    """The best k of any vectors by exact integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[int, int]]] = [[] for _ in ids]
+        exact = [integers(x) for x in q.tolist()]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, x = np.array(batch.column(0), np.int64), _matrix(batch.column(1))
+            # beyond this, products overflow in doubles
+            huge, seen = np.abs(x).max(1) > 2.0**490, {}
+            tame = np.where(huge[:, None], 0.0, x)
+            for i, mine in enumerate(ids.tolist()):
+                live = own != mine
+                if np.abs(q[i]).max() <= 2.0**490:
+                    about, slack = tame @ q[i], (x.shape[1] + 4) * 2.0**-52 * (np.abs(tame) @ np.abs(q[i]))
+                    # the k-th of what is surely reached; what can't reach it is out
+                    sure = (about - slack)[live & ~huge]
+                    if len(sure) > k:
+                        live &= huge | (about + slack >= np.partition(sure, -k)[-k])
+                for r in np.flatnonzero(live).tolist():
+                    if r not in seen:
+                        seen[r] = integers(x[r].tolist())
+                    best[i].append((-sum(a * b for a, b in zip(exact[i], seen[r], strict=True)), int(own[r])))
+                best[i] = sorted(best[i])[:k]
+        some = [(int(ids[i]), who, -s) for i, part in enumerate(best) for s, who in part]
+        if some:
+            yield _found(np.array([r[0] for r in some]), np.array([r[1] for r in some]), [r[2] for r in some])
+
+    return run
+
+
 def _searcher(ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(ids, q, pivots, k)
@@ -154,6 +229,6 @@ def _searcher(ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int):
                 first = False
         counts = [len(x) for x in search.best_id]
         if sum(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(search.best_id)), pa.array(np.concatenate(search.best_score))], ["query_id", "vec_id", "score"])
+            yield _found(np.repeat(ids, counts), np.concatenate(search.best_id), np.concatenate(search.best_score).tolist())
 
     return run

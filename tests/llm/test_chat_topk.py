@@ -75,3 +75,17 @@ def test_bounds_save_work():
     for i in range(10):
         want = sorted((-int(v @ x[i]), j) for j, v in enumerate(x) if j != i)[:5]
         assert [(-a, b) for a, b in zip(s.best_score[i].tolist(), s.best_id[i].tolist(), strict=True)] == want
+
+
+@pytest.mark.parametrize("size", [5000.0, 1e9, 1e30, 1e300])
+def test_large_components(spark, size):
+    r = random.Random(size)
+    rows = [(i, [r.gauss(0, size if i % 3 == 0 else 1) for _ in range(4)]) for i in range(90)] + [(3, [1.0] * 4), (200, [size, 0.5, -0.25, 0.0]), (201, [float("inf")] * 4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    ints = [(i, [math.floor(1024 * x) if abs(x) < 1e200 else int(x) * 1024 for x in v]) for i, v in rows if i != 201]
+    want = []
+    for q in range(0, 90, 5):
+        v = min(v for i, v in ints if i == q)
+        found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ints if i != q)[:10]
+        want += [(q, n, i, -s if abs(s) < 10**38 else None) for n, (s, i) in enumerate(found, 1)]
+    assert sorted(map(tuple, topk.top_k(table, table.where("vec_id % 5 = 0 AND vec_id < 90"), 10).collect()), key=lambda x: x[:2]) == want
