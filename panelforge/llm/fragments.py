@@ -9,7 +9,8 @@ are summed up for each pair.
 Documents with equal sets are one node.  A cluster is compared in cells of at most CELL nodes, neighbours by
 size; a larger cluster first finds its main component through one node of each cell, and then compares the
 nodes outside it with all others, so that a large group of near copies needs no pairs of all its members.
-A cell answers with a spanning forest of its links, not with all pairs.
+A cell answers with a spanning forest of its links, not with all pairs.  Numbers of links, where they are
+asked for, need all pairs: then each two cells whose sizes allow a link meet, and answer with sums for each node.
 """
 
 from __future__ import annotations
@@ -229,24 +230,28 @@ def _block(node, blocks: int):
     return F.pmod(F.pmod(node, F.lit(blocks)) + F.when(node < 0, F.lit(2**64 % blocks)).otherwise(F.lit(0)), F.lit(blocks)).cast("int")
 
 
-def links(cells: DataFrame, percent: int, cuts: np.ndarray, share) -> DataFrame:
-    """(a, b): a spanning forest of the links of each cell.
+def links(cells: DataFrame, percent: int, cuts: np.ndarray, share, counted: bool = False) -> DataFrame:
+    """(a, b): a spanning forest of the links of each cell; counted: (node, n), the sum of `weight` over the nodes linked with each.
+
+    Where counted, a cell with both sides counts the pairs between them alone.
 
     cells: cell, side (0: compared with all of the cell; 1: compared with side 0 only), node, size, payload.
     Each fragment counts the overlaps of a cell's pairs in its part of the global order; the sums decide.
     """
 
+    extra = ["weight"] if counted else []
+
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         position = share.value
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for cell, side, node, size, payload in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            cols: list[list] = [[] for _ in range(6 + len(extra))]
+            for cell, side, node, size, payload, *more in zip(*(batch.column(k).to_pylist() for k in range(5 + len(extra))), strict=True):
                 g = np.frombuffer(payload, np.uint64)
                 at = np.searchsorted(cuts, position(g), "right")
                 for f in range(FRAGMENTS):
-                    for c, v in zip(cols, (cell, f, side, node, size, g[at == f].tobytes()), strict=True):
+                    for c, v in zip(cols, (cell, f, side, node, size, g[at == f].tobytes(), *more), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["cell", "fragment", "side", "node", "size", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * len(extra)), strict=True)], ["cell", "fragment", "side", "node", "size", "payload", *extra])
 
     def ordered(table: pa.Table):
         side, node, size = (np.array(table[c], np.int64) for c in ("side", "node", "size"))
@@ -254,9 +259,9 @@ def links(cells: DataFrame, percent: int, cuts: np.ndarray, share) -> DataFrame:
         return side[order], node[order], size[order], order
 
     def overlap(table: pa.Table) -> pa.Table:
-        side, node, size, order = ordered(table)
+        side, node, size, by = ordered(table)
         column = table["payload"].combine_chunks() if table["payload"].num_chunks != 1 else table["payload"].chunk(0)
-        rows = [np.frombuffer(column[k].as_buffer(), np.uint64) for k in order.tolist()]
+        rows = [np.frombuffer(column[k].as_buffer(), np.uint64) for k in by.tolist()]
         who = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         g = np.unique(np.concatenate(rows), return_inverse=True)[1]
         count = np.bincount(g)
@@ -277,16 +282,26 @@ def links(cells: DataFrame, percent: int, cuts: np.ndarray, share) -> DataFrame:
         total = total.astype(np.uint32)
         total[:, :n0] = np.triu(total[:, :n0], 1)
         raw = np.ascontiguousarray(total).tobytes()
-        return pa.table({"cell": table["cell"][:1], "head": pa.array([K.pack(side=side, node=node, size=size)], pa.binary()), "payload": pa.array([pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)], pa.binary())})
+        return pa.table({"cell": table["cell"][:1], "head": pa.array([K.pack(side=side, node=node, size=size, **{c: np.array(table[c], np.int64)[by] for c in extra})], pa.binary()), "payload": pa.array([pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)], pa.binary())})
 
     def decide(table: pa.Table) -> pa.Table:
-        side, node, size = K.unpack(table["head"][0].as_buffer(), [np.int64] * 3)
+        side, node, size, *weight = K.unpack(table["head"][0].as_buffer(), [np.int64] * (3 + len(extra)))
         n0, n = int((side == 0).sum()), len(node)
         total, codec = np.zeros(n0 * n, np.int64), pa.Codec("zstd")
         for x in table["payload"]:
             total += np.frombuffer(codec.decompress(x.as_buffer(), 4 * n0 * n), np.uint32)
         total = total.reshape(n0, n)
-        a, b = np.nonzero((total > 0) & ((100 + percent) * total >= percent * (size[:n0, None] + size[None, :])))
+        linked = (total > 0) & ((100 + percent) * total >= percent * (size[:n0, None] + size[None, :]))
+        if counted:
+            if n0 < n:
+                linked[:, :n0] = False
+            a, b = np.nonzero(linked)
+            sums = np.zeros(n, np.int64)
+            np.add.at(sums, a, weight[0][b])
+            np.add.at(sums, b, weight[0][a])
+            some = np.flatnonzero(sums)
+            return pa.table({"node": pa.array(node[some]), "n": pa.array(sums[some])})
+        a, b = np.nonzero(linked)
         root = np.arange(n)
         out = []
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
@@ -300,9 +315,9 @@ def links(cells: DataFrame, percent: int, cuts: np.ndarray, share) -> DataFrame:
         pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    parts = cells.select("cell", "side", "node", "size", "payload").mapInArrow(cut_up, "cell string, fragment int, side int, node long, size long, payload binary")
+    parts = cells.select("cell", "side", "node", "size", "payload", *extra).mapInArrow(cut_up, "cell string, fragment int, side int, node long, size long, payload binary" + ", weight long" * counted)
     partial = parts.groupBy("cell", "fragment").applyInArrow(overlap, "cell string, head binary, payload binary")
-    return partial.groupBy("cell").applyInArrow(decide, "a long, b long")
+    return partial.groupBy("cell").applyInArrow(decide, "node long, n long" if counted else "a long, b long")
 
 
 class _Position:
@@ -318,8 +333,8 @@ class _Position:
         return self.start[c] + self.size[c] * (g >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document.
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", n_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document; n_links: also the number of rows that it is linked with.
 
     A document's set: its distinct n-grams of words with A-Z in lower case; with fewer than n words, all of
     them as one; without words it is empty and linked with nothing.  Documents link when
@@ -348,15 +363,48 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     label = components(found)
     of = label.join(least, "node").groupBy("label").agg(F.min("least").alias("of"))
     mine = least.join(label.join(of, "label").select("node", "of"), "node", "left").select("node", F.coalesce("of", "least").alias("component_id"))
-    return rows.join(mine, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = ["doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    if not n_links:
+        return rows.join(mine, "node", "left").select(*out)
+    weight = shards.durable(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight")))
+    row = ["node", "size", "payload", "weight"]
+    cells = small.join(weight, "node").select(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(many))).alias("cell"), F.lit(0).alias("side"), *row)
+    if any_large:
+        placed = _placed(members(docs, p, labels.join(large, "label", "left_semi"), n).join(weight, "node"))
+        cells = cells.unionByName(_all_cells(placed, percent, row))
+    linked = links(cells, percent, cuts, position, counted=True).groupBy("node").agg(F.sum("n").alias("linked"))
+    total = weight.join(linked, "node", "left").select("node", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return rows.join(mine, "node", "left").join(total, "node", "left").select(*out, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _large(nodes: DataFrame, percent: int, cuts: np.ndarray, position) -> DataFrame:
-    """Links of clusters beyond a cell: within cells, through a node of each cell, and of what is left with all."""
+def _placed(nodes: DataFrame) -> DataFrame:
+    """The nodes of large clusters with slot and part, which name a cell."""
     # sizes in classes of a twentieth, each dealt out evenly to cells; no cluster is sorted by one task
     slotted = nodes.withColumn("slot", F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1.05))).cast("int"))
     counts = slotted.groupBy("cluster", "slot").agg(F.ceil(F.count("*") / F.lit(CELL // 2)).cast("int").alias("parts"))
-    placed = shards.durable(slotted.join(counts, ["cluster", "slot"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"))
+    return shards.durable(slotted.join(counts, ["cluster", "slot"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"))
+
+
+def _reach(percent: int) -> int:
+    """Classes of sizes that a link may span."""
+    return math.ceil(math.log(100 / percent) / math.log(1.05)) + 1
+
+
+def _all_cells(placed: DataFrame, percent: int, row: list[str]) -> DataFrame:
+    """Each cell by itself, and each two cells whose sizes allow a link, once."""
+    own = placed.select(F.concat_ws(":", F.lit("i"), "cluster", "slot", "part").alias("cell"), F.lit(0).alias("side"), *row)
+    a = placed.select("cluster", "slot", "part").distinct()
+    b = a.select("cluster", F.col("slot").alias("slot_b"), F.col("part").alias("part_b"))
+    later = (F.col("slot_b") > F.col("slot")) & (F.col("slot_b") <= F.col("slot") + _reach(percent)) | (F.col("slot_b") == F.col("slot")) & (F.col("part_b") > F.col("part"))
+    two = a.join(b, "cluster").where(later).withColumn("cell", F.concat_ws(":", F.lit("x"), "cluster", "slot", "part", "slot_b", "part_b"))
+    left = placed.join(two.select("cluster", "slot", "part", "cell"), ["cluster", "slot", "part"]).select("cell", F.lit(0).alias("side"), *row)
+    right = placed.join(two.select("cluster", F.col("slot_b").alias("slot"), F.col("part_b").alias("part"), "cell"), ["cluster", "slot", "part"]).select("cell", F.lit(1).alias("side"), *row)
+    return own.unionByName(left).unionByName(right)
+
+
+def _large(nodes: DataFrame, percent: int, cuts: np.ndarray, position) -> DataFrame:
+    """Links of clusters beyond a cell: within cells, through a node of each cell, and of what is left with all."""
+    placed = _placed(nodes)
     row = ["node", "size", "payload"]
     inside = shards.durable(links(placed.select(F.concat_ws(":", F.lit("i"), "cluster", "slot", "part").alias("cell"), F.lit(0).alias("side"), *row), percent, cuts, position))
     # a node of the largest component of each cell meets those of other cells; one of each class of sizes meets all
@@ -377,7 +425,7 @@ def _large(nodes: DataFrame, percent: int, cuts: np.ndarray, position) -> DataFr
     main = own.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
     main = main.select("cluster", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / F.lit(CELL // 2)).cast("int").alias("groups"))
     rest = own.join(main, "cluster").where("label <> main").withColumn("group", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
-    reach = math.ceil(math.log(100 / percent) / math.log(1.05)) + 1
+    reach = _reach(percent)
     cells = placed.select("cluster", "slot", "part").distinct()
     asked = rest.select("cluster", "group", *row, F.explode(F.sequence(F.col("slot") - reach, F.col("slot") + reach)).alias("slot")).join(cells, ["cluster", "slot"])
     name = F.concat_ws(":", F.lit("r"), "cluster", "slot", "part", "group").alias("cell")

@@ -59,6 +59,10 @@ def op6_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragments.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragments.jaccard_components(_table(spark, sf_dir, "documents"), n_links=True)
+
+
 def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix": op4_suffix,
     "op5_toxicity": op5_toxicity,
     "op6_fragments": op6_fragments,
+    "op6_links": op6_links,
     "op7_fm_index": op7_fm_index,
     "op8_chat": op8_chat,
     "op9_tiling": op9_tiling,

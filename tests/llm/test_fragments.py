@@ -94,3 +94,14 @@ def test_components(spark, monkeypatch, few):
             root[a] = root[b] = min(root[a], root[b])
     got = {tuple(x) for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(x, y) for x, y in root.items() if any(a != b and x in (a, b) for a, b in edges)}
+
+
+@pytest.mark.parametrize("cell", [1024, 16])
+def test_number_of_links(spark, monkeypatch, cell):
+    monkeypatch.setattr(fragments, "CELL", cell)
+    rows = corpus(5, groups=12, hot=80)
+    sets = [shingles(t) for _, t in rows]
+    want = [(i, sum(k != j and bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets))) for k, ((i, _), a) in enumerate(zip(rows, sets, strict=True))]
+    got = fragments.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n_links=True).collect()
+    assert sorted([(r.doc_id, r.n_links) for r in got], key=str) == sorted(want, key=str)
+    assert max(n for _, n in want) > cell or cell > 16
