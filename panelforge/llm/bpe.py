@@ -29,6 +29,8 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
 _FINAL = np.uint64(0xA5A5A5A55A5A5A5A)
 _NONE = np.int64(2**62)
+#: Bytes of text whose different words are encoded together.
+BATCH = 1 << 19
 
 
 def byte_letters() -> dict[int, str]:
@@ -81,7 +83,11 @@ class WordBPE:
         raw = np.frombuffer(b"".join(r for r, _ in entries), np.uint8)
         ends = np.cumsum([len(r) for r, _ in entries])
         starts = np.concatenate([[0], ends[:-1]])
-        names = K.name(K.prefix(raw), starts, ends) ^ np.where([f for _, f in entries], _FINAL, np.uint64(0))
+        names = K.rolled(K.prefix(raw), starts, ends) ^ np.where([f for _, f in entries], _FINAL, np.uint64(0))
+        # the bytes of each token, to check what its name finds
+        self.bytes_at, self.bytes_of = np.zeros((2, max(vocab.values()) + 1), np.int64), raw
+        found = list(entries.values())
+        self.bytes_at[0, found], self.bytes_at[1, found] = starts, ends - starts
         # an open hash table from name to id
         self.bits = 18
         self.slot_name = np.zeros(1 << self.bits, np.uint64)
@@ -253,7 +259,7 @@ class WordBPE:
                 if not len(try_):
                     continue
                 to = p[try_] + l
-                found = self.lookup(K.name(c, p[try_], to) ^ np.where(to == e[try_], _FINAL, np.uint64(0)))
+                found = self.lookup(K.rolled(c, p[try_], to) ^ np.where(to == e[try_], _FINAL, np.uint64(0)))
                 hit = found >= 0
                 token[try_[hit]], size[try_[hit]] = found[hit], l
                 open_ = open_[token[open_] < 0]
@@ -272,7 +278,7 @@ class WordBPE:
         lane, ids = lane[order], ids[order]
         border = np.flatnonzero(lane[1:] == lane[:-1])
         bad = border[~self.checked(ids[border], ids[border + 1])]
-        failing = np.unique(lane[bad])
+        failing = np.unique(np.concatenate([lane[bad], self.misread(buf, off, lane, ids)]))
         self.failed = len(failing)
         counts = np.bincount(lane, minlength=n)
         if len(failing):
@@ -290,6 +296,15 @@ class WordBPE:
             return out, out_off
         return ids, np.concatenate([[0], np.cumsum(counts)])
 
+    def misread(self, buf: np.ndarray, off: np.ndarray, lane: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Pieces whose tokens don't spell them, as a name stood for other bytes."""
+        begin, size = self.bytes_at[:, ids]
+        spelled = self.bytes_of[K.spans(begin, size)]
+        whole = np.bincount(lane, size, len(off) - 1).astype(np.int64) == np.diff(off)
+        if not whole.all():
+            return np.arange(len(off) - 1)
+        return np.unique(np.searchsorted(off, np.flatnonzero(spelled != buf[off[0] : off[-1]]), "right") - 1)
+
     def encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and offsets for texts without line feeds; special tokens inside a text are found as such."""
         joined = "\n".join(texts)
@@ -344,7 +359,11 @@ class WordBPE:
         starts, ends, first = K.words(buf, off)
         if not len(starts):
             return pa.array([], pa.large_binary()), pa.array([], pa.large_binary()), first
-        _, pick, back = np.unique(K.name(K.prefix(buf), starts, ends), return_index=True, return_inverse=True)
+        _, pick, back = np.unique(K.name(buf, starts, ends), return_index=True, return_inverse=True)
+        alike = same_bytes(buf, starts, ends, pick[back])
+        if not alike.all():
+            # words that share a name with others stand for themselves
+            pick, back[~alike] = np.concatenate([pick, np.flatnonzero(~alike)]), len(pick) + np.arange(int((~alike).sum()))
         lengths = ends[pick] - starts[pick]
         raw = buf[K.spans(starts[pick], lengths)].tobytes()
         cut = np.concatenate([[0], np.cumsum(lengths)]).tolist()
@@ -366,6 +385,23 @@ class WordBPE:
         return " ".join(self.text[i] for i in ids if 0 <= i < len(self.text) and self.text[i])
 
 
+def same_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the span `other`."""
+    size = ends - starts
+    out = size == size[other]
+    rows = np.flatnonzero(out & (other != np.arange(len(starts))))
+    at = 0
+    total = np.cumsum(size[rows])
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + K.PIECE, "right")))
+        q = rows[at:to]
+        differs = buf[K.spans(starts[q], size[q])] != buf[K.spans(starts[other[q]], size[q])]
+        if differs.any():
+            out[q[np.unique(np.searchsorted(np.cumsum(size[q]), np.flatnonzero(differs), "right"))]] = False
+        at = to
+    return out
+
+
 class _Plain:
     """The same model without special tokens."""
 
@@ -401,7 +437,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
             off = K.flat(batch.column(1))[1]
             at = 0
             while at < len(off) - 1:
-                to = max(at + 1, int(np.searchsorted(off, off[at] + K.PIECE, "right")) - 1)
+                to = max(at + 1, int(np.searchsorted(off, off[at] + BATCH, "right")) - 1)
                 yield _encoded(bpe, batch.slice(at, to - at), keep)
                 at = to
             del batch  # before the next one is read

@@ -1,4 +1,4 @@
-"""Connected components: alternating large-star and small-star steps in DataFrames, or one task while the edges are few."""
+"""Connected components: alternating large-star and small-star steps in DataFrames, with the edges of a partition contracted in between."""
 
 from __future__ import annotations
 
@@ -12,11 +12,8 @@ from pyspark.sql import functions as F
 from .shards import durable
 
 
-#: Up to so many edges (16 bytes each) one task does them all; beyond, rounds over the cluster do.
-FEW = 1 << 20
-
-
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars: each node with the smallest one that it reaches inside the partition."""
     parts = [(np.array(b.column(0), np.int64), np.array(b.column(1), np.int64)) for b in batches if b.num_rows]
     if not parts:
         return
@@ -33,31 +30,36 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.minimum.at(root, high[open_], low[open_])
         while (root != root[root]).any():
             root = root[root]
-    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], ["node", "label"])
+    leaf = root != np.arange(len(root))
+    yield pa.RecordBatch.from_arrays([pa.array(node[root[leaf]]), pa.array(node[leaf])], ["a", "b"])
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    return durable(edges.distinct().mapInArrow(_union, "a long, b long"))
+
+
+def _done(now: DataFrame) -> bool:
+    """Whether all edges are stars: no node has two labels, and no label has one."""
+    ends = now.select(F.col("b").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("label")).unionByName(now.select(F.col("a").alias("n"), F.lit(0).alias("leaf"), F.lit(1).alias("label")))
+    return ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("label").alias("label")).where("leaf + label > 1 AND leaf > 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): label is the component's smallest node.
 
-    Null ends and loops are dropped, so a node with nothing but loops has no row.  Minima are summed up before
-    they are joined back, so that a node with many edges loads no single task, and each round is written to
-    the shared folder.
+    Null ends and loops are dropped, so a node with nothing but loops has no row.  Each round first contracts
+    the edges inside each partition, so that a partition holds at most an edge for each of its nodes; the
+    steps between them run over the cluster until all edges are stars.  Minima are summed up before they are
+    joined back, and each round is written to the shared folder.
     """
-    now = durable(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if now.count() <= FEW:
-        return durable(now.coalesce(1).mapInArrow(_union, "node long, label long"))
-    last = None
-    while True:
+    now = _contracted(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    while not _done(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # every larger neighbour is tied to the smallest node around
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("n"), "m").distinct()
         low = large.groupBy("n").agg(F.min("m").alias("low"))
         # every smaller neighbour, and the node itself, to the smallest of them
-        small = large.join(low, "n").where("m <> low").select(F.col("m").alias("b"), F.col("low").alias("a")).unionByName(low.select(F.col("n").alias("b"), F.col("low").alias("a")))
-        now = durable(small.select("a", "b").distinct())
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == last:
-            break
-        last = state
+        small = large.join(low, "n").where("m <> low").select(F.col("low").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("low").alias("a"), F.col("n").alias("b")))
+        now = _contracted(small.select("a", "b"))
     return now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct()

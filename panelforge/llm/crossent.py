@@ -2,9 +2,9 @@
 
 Two trigram models, one of target documents and one of all documents, share one vocabulary (every word of all
 documents; VOCABULARY may set a limit), one smoothing and one size: the background's counts are
-scaled to the target's number of tokens, so that neither model is smoothed more than the other.  A
-document's score is the mean over its tokens of the target's loss less the background's: lower is closer
-to the target.
+scaled to the target's number of tokens, so that neither model is smoothed more than the other.  A document is
+scored by the counts of all other documents: its own are taken off both models before.  Its score is
+the mean over its tokens of the target's loss less the background's: lower is closer to the target.
 
 Counts are exact, cover all documents and every word, bigram and trigram, and grow with the corpus, so no task holds a model:
 
@@ -41,6 +41,8 @@ BLOCK, BUCKET = 12 << 20, 8 << 20
 #: What a row of a block holds, where it is no reply.
 _TEXTS, _TARGET = -2, -1
 _ROW = "block int, bucket int, payload binary"
+#: The name under which texts are counted, as the context of their first words; no n-gram's name is less.
+_TEXT_NAME = np.uint64(0)
 
 
 def word_counts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -89,7 +91,7 @@ def names_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Names of the words (white space parts them; case of ASCII and Latin-1 doesn't count), and words before each text."""
     x = K.folded(buf)
     starts, ends, first = K.words(x, off)
-    return K.name(K.prefix(x), starts, ends), first
+    return K.name(x, starts, ends), first
 
 
 def context(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,17 +162,27 @@ def loosened(value: pa.Scalar, k: int) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
 
 
-def losses(count: np.ndarray, tokens: float, scale: float, words: int, begin: np.ndarray) -> np.ndarray:
+def losses(count: np.ndarray, tokens: np.ndarray, texts: np.ndarray, scale: float, words: int, begin: np.ndarray) -> np.ndarray:
     """Minus the logarithm of each token's probability; every order is smoothed towards the one below.
 
-    count: of the word, bigram and trigram that end at each token; begin: whether a text begins there.
+    count: of the word, bigram and trigram that end at each token; tokens, texts: in all; begin: whether a text
+    begins there.  A context is counted wherever it stands, so the probabilities of all words after it
+    add up to 1 less the part of texts that end there.
     """
     one, two, three = count * scale
-    p = (one + STRENGTH / max(SIZES[0], words + 2)) / (tokens + STRENGTH)
-    # tokens seen after BEGIN stand for BEGIN's own count
-    p = (two + STRENGTH * p) / (np.where(begin, tokens / 100, np.roll(one, 1)) + STRENGTH)
-    p = (three + STRENGTH * p) / (np.where(begin, tokens / 100, np.roll(two, 1)) + STRENGTH)
-    return -np.log(np.minimum(p, 1.0))
+    p = (one + STRENGTH / max(SIZES[0], words + 2)) / (tokens * scale + STRENGTH)
+    p = (two + STRENGTH * p) / (np.where(begin, texts * scale, np.roll(one, 1)) + STRENGTH)
+    p = (three + STRENGTH * p) / (np.where(begin, texts * scale, np.roll(two, 1)) + STRENGTH)
+    return -np.log(p)
+
+
+def within(back: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
+    """How often each token's n-grams (back: their numbers below `size`, a row for each order) stand in its own text."""
+    out = np.empty(back.shape, np.int64)
+    for k, own in enumerate(back):
+        _, at, n = np.unique((row - row[0]) * size + own, return_inverse=True, return_counts=True)
+        out[k] = n[at]
+    return out
 
 
 def sizes(docs: DataFrame) -> shards.Plan:
@@ -214,6 +226,7 @@ def replied(blocks: DataFrame, p: shards.Plan, sent) -> DataFrame:
         n = np.bincount(back, minlength=len(name))
         own = np.bincount(back[np.tile(np.repeat(chosen, count), 3)], minlength=len(name))
         del back
+        name, n, own = (np.concatenate([[x], y]) for x, y in ((_TEXT_NAME, name), ((count > 0).sum(), n), ((count[chosen] > 0).sum(), own)))
         # names are spread evenly, so buckets are ranges of them
         at = np.searchsorted(((name >> np.uint64(32)) * np.uint64(p.buckets)) >> np.uint64(32), np.arange(p.buckets + 1, dtype=np.uint64))
         some = np.flatnonzero(np.diff(at))
@@ -246,7 +259,7 @@ def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of every document.
 
-    A null or empty text has no tokens and null losses.  A null doc_id stays null and is never a target;
+    Words are told apart by 64-bit names.  A null or empty text has no tokens and null losses.  A null doc_id stays null and is never a target;
     repeated rows count each time; ids of the target that no document has are left out.  Without
     target documents both models are uniform and every score is 0.
     """
@@ -263,24 +276,37 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     finally:
         conf.set(key, before)
     sums = replies.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "tokens", "own"))).first()
-    words, tokens, scale = sums.words, float(sums.own), sums.own / max(1, sums.tokens)
+    words, tokens, scale = sums.words, (sums.tokens, sums.own), sums.own / max(1, sums.tokens)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, buf, off, _ = read(table)
+        ids, buf, off, chosen = read(table)
         names, n = named(sent.value, buf, off)
         kind = np.array(table["bucket"], np.int64)
         rows = np.flatnonzero(kind >= 0)
         got = [loosened(x, 2) for x in table["payload"].take(pa.array(rows[np.argsort(kind[rows])]))]
         count = np.concatenate(got, axis=1).astype(np.int64) if got else np.zeros((2, 0), np.int64)
         name, back = np.unique(names.ravel(), return_inverse=True)
-        if len(name) != count.shape[1]:
+        if len(name) + 1 != count.shape[1]:
             raise ValueError("the documents changed between two reads")
-        back = back.reshape(names.shape)
+        # the first count is that of texts
+        back, size = back.reshape(names.shape) + 1, count.shape[1]
         del names, name, got, buf
-        begin = np.zeros(back.shape[1], bool)
-        begin[(np.cumsum(n) - n)[n > 0]] = True
-        row = np.repeat(np.arange(len(n)), n)
-        b, a = (np.bincount(row, losses(c[back], tokens, s, words, begin), len(n)) for c, s in zip(count, (scale, 1.0), strict=True))
+        first = np.concatenate([[0], np.cumsum(n)])
+        b, a = np.zeros((2, len(n)))
+        at = 0
+        while at < len(n):
+            # some texts at a time
+            to = max(at + 1, int(np.searchsorted(first, first[at] + K.PIECE, "right")) - 1)
+            own, per = back[:, first[at] : first[to]], n[at:to]
+            row = np.repeat(np.arange(at, to), per)
+            if len(row):
+                begin = np.zeros(len(row), bool)
+                begin[(first[at:to] - first[at])[per > 0]] = True
+                inside = within(own, row, size)
+                for c, part, total, s, out in ((count[0], np.ones(len(n), np.int64), tokens[0], scale, b), (count[1], chosen.astype(np.int64), tokens[1], 1.0, a)):
+                    taken = part[row]
+                    out[at:to] = np.bincount(row - at, losses(c[own] - inside * taken, total - n[row] * taken, c[0] - taken, s, words, begin), to - at)
+            at = to
         none, per = n == 0, np.maximum(n, 1)
         return pa.table({"doc_id": shards.ids_back(ids), "n_tokens": pa.array(n.astype(np.int64))} | {k: pa.array(x / per, mask=none) for k, x in (("target_loss", a), ("background_loss", b), ("score", a - b))})
 

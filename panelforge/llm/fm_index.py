@@ -1,7 +1,7 @@
 """Substring dedup on words: an FM-index per shard, searched backwards over a wavelet tree.
 
-A shard indexes the texts that share anchors (see shards.py) as one sequence of word numbers.  Documents'
-texts are streamed through it from their last word to the first: a backward step narrows the interval
+A shard indexes the texts that share anchors (see shards.py) as one sequence of word numbers; an anchor with
+very many texts is spread over shards by windows.  Documents' texts are streamed through it from their last word to the first: a backward step narrows the interval
 of suffixes by the word before, and at the threshold the interval is widened again to all suffixes that
 share a word less, so each word costs one step.  The interval's smallest doc_id tells whether the
 window starts in an earlier document.
@@ -10,6 +10,7 @@ window starts in an earlier document.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -128,28 +129,41 @@ class FMIndex:
         return length, owner
 
 
-def compare(width: int):
-    """Windows of a shard's texts that start in a document with a smaller doc_id than their own."""
+@dataclass(frozen=True)
+class Streamed:
+    """The method of shards.Method: texts are streamed past an index of all of them; told: the smallest doc_id that has the window."""
 
-    def run(buf: np.ndarray, off: np.ndarray, total: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    width: int
+    size: int = 8 * K.PIECE
+
+    def compare(self, buf, off, count, doc, copies):
         parts = []
         for _, _, x, o in K.pieces(buf, off):
             starts, ends, first = K.words(x, o)
-            parts.append((K.name(K.prefix(x), starts, ends), np.diff(first)))
+            parts.append((K.name(x, starts, ends), np.diff(first)))
         names, sizes = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
         number = np.unique(names, return_inverse=True)[1] + 1
         cut = np.concatenate([[0], np.cumsum(sizes)])
         # a 0 after each text
-        index = FMIndex(np.insert(number, cut[1:], 0), np.repeat(doc, sizes + 1), width)
+        index = FMIndex(np.insert(number, cut[1:], 0), np.repeat(doc, sizes + 1), self.width)
         length, owner = index.statistics(number, cut)
         own = np.repeat(np.arange(len(sizes)), sizes)
-        found = np.flatnonzero((length == width) & (owner < doc[own]))
-        text, start = own[found], found - cut[own[found]]
-        begin = np.concatenate([[0], np.flatnonzero((np.diff(text) != 0) | (np.diff(start) != 1)) + 1, [len(found)]])
+        # of a text with copies, those that belong to larger doc_ids lose what the smallest has itself
+        found = np.flatnonzero((length == self.width) & ((owner < doc[own]) | copies[own]))
+        text, start, least = own[found], found - cut[own[found]], owner[found]
+        begin = np.concatenate([[0], np.flatnonzero((np.diff(text) != 0) | (np.diff(start) != 1) | (np.diff(least) != 0)) + 1, [len(found)]])
         begin = begin if len(found) else np.zeros(1, np.int64)
-        return text[begin[:-1]], start[begin[:-1]], np.diff(begin)
+        return text[begin[:-1]], start[begin[:-1]], np.diff(begin), least[begin[:-1]]
 
-    return run
+    def split(self, buf, off, count):
+        parts = []
+        for a, _, x, o in K.pieces(buf, off):
+            starts, ends, first = K.words(x, o)
+            at = np.flatnonzero(K.in_document(first, self.width))
+            text = np.searchsorted(first, at, "right") - 1
+            names = K.sequence(K.name(x, starts, ends), at, np.full(len(at), self.width))
+            parts.append((text + a, at - first[text], names, starts[at] - o[text], ends[at + self.width - 1] - o[text]))
+        return tuple(np.concatenate([p[k] for p in parts]) for k in range(5))
 
 
 def substring_dedup(docs: DataFrame, width: int = 13, gram: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -162,8 +176,9 @@ def substring_dedup(docs: DataFrame, width: int = 13, gram: int = 5, id_col: str
     """
     w = shards.Windows(width, gram, True)
 
-    def finish(ids, buf, off, marked):
-        row, start, count = marked
+    def finish(ids, buf, off, marked, _):
+        row, start, count, least = marked
+        row, start, count = (x[least < ids[row]] for x in (row, start, count))
         words = [(a, x, o, *K.words(x, o)) for a, _, x, o in K.pieces(buf, off)]
         first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[5]) for x in words]))]) if words else np.zeros(1, np.int64)
         gone = shards.covered(first, width, row, start, count)
@@ -185,4 +200,4 @@ def substring_dedup(docs: DataFrame, width: int = 13, gram: int = 5, id_col: str
         columns = {"doc_id": shards.ids_back(ids), "n_words": pa.array(np.diff(first)), "n_removed": pa.array(np.diff(lost[first])), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table(columns | ({"text": pa.array(texts, pa.string())} if keep else {}))
 
-    return shards.repeated(shards.documents(docs, id_col, text_col), w, True, compare(width), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if keep else ""))
+    return shards.repeated(shards.documents(docs, id_col, text_col), w, True, Streamed(width), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if keep else ""))

@@ -29,6 +29,8 @@ from .components import components
 
 #: Nodes in a cell, fragments of the global order, counters of the sketch.
 CELL, FRAGMENTS, SKETCH = 1024, 4, 1 << 22
+#: Nodes with more than this part of all rows have their rows dealt out by so many salts.
+HEAVY, SALTS = 1000, 64
 _SLICES = 64
 _SHORT, _MOST = np.uint64(2**40 - 1), 2**16 - 1
 
@@ -39,14 +41,13 @@ def sets(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     for _, _, x, o in K.pieces(buf, off):
         low = K.LOWER[x]
         starts, ends, first = K.words(low, o)
-        w = K.name(K.prefix(low), starts, ends)
-        c = np.concatenate([[np.uint64(0)], np.cumsum(w * K.powers(len(w))[0], dtype=np.uint64)])
+        w = K.name(low, starts, ends)
         per = np.diff(first)
         # windows of n words, or all words if there are fewer
         count = np.where(per > 0, np.maximum(per - n + 1, 1), 0)
         begin = K.spans(first[:-1], count)
         row = np.repeat(np.arange(len(per)), count)
-        g = K.name(c, begin, np.minimum(begin + n, first[1:][row]))
+        g = K.sequence(w, begin, np.minimum(n, first[1:][row] - begin))
         order = np.lexsort((g, row))
         g, row = g[order], row[order]
         new = np.ones(len(g), bool)
@@ -87,14 +88,22 @@ def rarity(docs: DataFrame, n: int) -> np.ndarray:
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([codec.compress(total[k * step : (k + 1) * step].tobytes(), asbytes=True) for k in range(_SLICES)], pa.binary())], ["slice", "payload"])
 
-    def add(table: pa.Table) -> pa.Table:
+    def summed(table: pa.Table, kind) -> np.ndarray:
         codec, total = pa.Codec("zstd"), np.zeros(step, np.int64)
         for x in table["payload"]:
-            total += np.frombuffer(codec.decompress(x.as_buffer(), 4 * step), np.uint32)
-        classes = np.minimum(np.floor(4 * np.log2(total + 1)), 255).astype(np.uint8)
+            total += np.frombuffer(codec.decompress(x.as_buffer(), np.dtype(kind).itemsize * step), kind)
+        return total
+
+    def add(table: pa.Table) -> pa.Table:
+        raw = pa.Codec("zstd", compression_level=1).compress(summed(table, np.uint32).tobytes(), asbytes=True)
+        return pa.table({"slice": table["slice"][:1], "payload": pa.array([raw], pa.binary())})
+
+    def classed(table: pa.Table) -> pa.Table:
+        classes = np.minimum(np.floor(4 * np.log2(summed(table, np.int64) + 1)), 255).astype(np.uint8)
         return pa.table({"slice": table["slice"][:1], "payload": pa.array([classes.tobytes()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(count, "slice int, payload binary").groupBy("slice").applyInArrow(add, "slice int, payload binary").collect()
+    parts = docs.select("text").mapInArrow(count, "slice int, payload binary").groupBy("slice", F.pmod(F.spark_partition_id(), F.lit(shards.FAN))).applyInArrow(add, "slice int, payload binary")
+    rows = parts.groupBy("slice").applyInArrow(classed, "slice int, payload binary").collect()
     out = np.zeros(SKETCH, np.uint8)
     for r in rows:
         out[r.slice * step : (r.slice + 1) * step] = np.frombuffer(r.payload, np.uint8)
@@ -164,15 +173,15 @@ def candidates(prefixed: DataFrame, percent: int) -> DataFrame:
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node) of each document; node is the name of its set, null for an empty one."""
+    """(doc_id, n_shingles, node, mark) of each document; node is the name of its set, null for an empty one; mark tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, off, digest = sets(*K.flat(batch.column(1)), n)
             size = np.diff(off)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest.view(np.int64), pa.int64(), mask=size == 0)], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest.view(np.int64), pa.int64(), mask=size == 0), batch.column(2)], ["doc_id", "n_shingles", "node", "mark"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, n_shingles long, node long, mark long")
 
 
 def members(docs: DataFrame, p: shards.Plan, labels: DataFrame, n: int) -> DataFrame:
@@ -333,9 +342,12 @@ class _Position:
         return self.start[c] + self.size[c] * (g >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", n_links: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", n_links: bool = False, rows_apart: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document; n_links: also the number of rows that it is linked with.
 
+    rows_apart: also `component`, a name of its own for each component, as a doc_id that several rows have may be the
+    smallest of several components, and `mark`, xxhash64 of the text.
+
     A document's set: its distinct n-grams of words with A-Z in lower case; with fewer than n words, all of
     them as one; without words it is empty and linked with nothing.  Documents link when
     100 |intersection| >= percent |union|.  Nulls: a null text has no words; a null doc_id counts as larger than any
@@ -359,22 +371,33 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     if any_large:
         found = found.unionByName(_large(members(docs, p, labels.join(large, "label", "left_semi"), n), percent, cuts, position))
     rows = shards.durable(described(docs, n))
-    least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    least = shards.durable(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight")))
+    # the rows of a node that has more than 1/HEAVY of all are dealt out; there are fewer than HEAVY such nodes
+    total = least.agg(F.sum("weight").alias("n")).first().n or 0
+    heavy = F.broadcast(least.where(F.col("weight") * HEAVY > total).select("node", F.lit(True).alias("heavy")))
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt")
+    rows = rows.join(heavy, "node", "left").select("doc_id", "n_shingles", "node", "mark", salt)
+
+    def everywhere(per_node: DataFrame) -> DataFrame:
+        """The rows of a table by node, once for each salt of the node."""
+        salts = F.when(F.col("weight") * HEAVY > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        return per_node.withColumn("salt", F.explode(salts)).drop("weight")
+
     label = components(found)
     of = label.join(least, "node").groupBy("label").agg(F.min("least").alias("of"))
-    mine = least.join(label.join(of, "label").select("node", "of"), "node", "left").select("node", F.coalesce("of", "least").alias("component_id"))
-    out = ["doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    mine = least.join(label.join(of, "label").select("node", "label", "of"), "node", "left").select("node", "weight", F.coalesce("of", "least").alias("component_id"), F.coalesce("label", "node").alias("component"))
+    out = ["doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["component", "mark"] * rows_apart]
     if not n_links:
-        return rows.join(mine, "node", "left").select(*out)
-    weight = shards.durable(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight")))
+        return rows.join(everywhere(mine), ["node", "salt"], "left").select(*out)
+    weight = least.select("node", "weight")
     row = ["node", "size", "payload", "weight"]
     cells = small.join(weight, "node").select(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(many))).alias("cell"), F.lit(0).alias("side"), *row)
     if any_large:
         placed = _placed(members(docs, p, labels.join(large, "label", "left_semi"), n).join(weight, "node"))
         cells = cells.unionByName(_all_cells(placed, percent, row))
     linked = links(cells, percent, cuts, position, counted=True).groupBy("node").agg(F.sum("n").alias("linked"))
-    total = weight.join(linked, "node", "left").select("node", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    return rows.join(mine, "node", "left").join(total, "node", "left").select(*out, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counted = mine.join(linked, "node", "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("linked", F.lit(0)))
+    return rows.join(everywhere(counted), ["node", "salt"], "left").select(*out, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _placed(nodes: DataFrame) -> DataFrame:

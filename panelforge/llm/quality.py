@@ -41,13 +41,13 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     here = kind[1:-1]
     starts = np.flatnonzero((here > 0) & ((here != kind[:-2]) | edge[:-1]))
     ends = np.flatnonzero((here > 0) & ((here != kind[2:]) | edge[1:])) + 1
-    names = K.name(K.prefix(x), starts, ends)
+    names = K.name(x, starts, ends)
     return (names & np.uint64(VOCABULARY - 1)).astype(np.int64), np.searchsorted(starts, off)
 
 
 def contexts(buf: np.ndarray, off: np.ndarray, total: np.ndarray, seen: np.ndarray) -> None:
     """Adds the index vectors around each word to `total`, and counts words in `seen`."""
-    for _, _, x, o in K.pieces(buf, off, 4 * K.PIECE):
+    for _, _, x, o in K.pieces(buf, off, 16 * K.PIECE):
         t, first = tokens(x, o)
         row = np.repeat(np.arange(len(o) - 1), np.diff(first))
         seen += np.bincount(t, minlength=VOCABULARY)
@@ -75,15 +75,22 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         if seen.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([codec.compress(np.ascontiguousarray(both[k * rows : (k + 1) * rows].T).tobytes(), asbytes=True) for k in range(_SLICES)], pa.binary())], ["slice", "payload"])
 
-    def add(table: pa.Table) -> pa.Table:
-        codec, total = pa.Codec("zstd"), np.zeros((DIMENSIONS + 1) * rows, np.int64)
+    def summed(table: pa.Table, kind) -> pa.Table:
+        codec, total = pa.Codec("zstd", compression_level=1), np.zeros((DIMENSIONS + 1) * rows, np.int64)
         for x in table["payload"]:
-            total += np.frombuffer(codec.decompress(x.as_buffer(), 4 * len(total)), np.int32)
-        return pa.table({"slice": table["slice"][:1], "payload": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(codec.decompress(x.as_buffer(), np.dtype(kind).itemsize * len(total)), kind)
+        return pa.table({"slice": table["slice"][:1], "payload": pa.array([codec.compress(total.tobytes(), asbytes=True)], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        return summed(table, np.int32)
+
+    def add_sums(table: pa.Table) -> pa.Table:
+        return summed(table, np.int64)
 
     out = np.zeros((VOCABULARY, DIMENSIONS + 1))
-    for r in docs.select("text").mapInArrow(run, "slice int, payload binary").groupBy("slice").applyInArrow(add, "slice int, payload binary").collect():
-        out[r.slice * rows : (r.slice + 1) * rows] = np.frombuffer(r.payload, np.int64).reshape(-1, rows).T
+    parts = docs.select("text").mapInArrow(run, "slice int, payload binary").groupBy("slice", F.pmod(F.spark_partition_id(), F.lit(shards.FAN))).applyInArrow(add, "slice int, payload binary")
+    for r in parts.groupBy("slice").applyInArrow(add_sums, "slice int, payload binary").collect():
+        out[r.slice * rows : (r.slice + 1) * rows] = np.frombuffer(pa.Codec("zstd").decompress(r.payload, 8 * (DIMENSIONS + 1) * rows), np.int64).reshape(-1, rows).T
     return finished(out[:, :-1], out[:, -1])
 
 
@@ -180,7 +187,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def scored(docs: DataFrame, labels: DataFrame, sample: int = 20000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every document: the probability of label 1.
 
-    labels: doc_id, label 0 or 1 (others are left out; of several for one id the smallest counts); sample bounds
+    labels: doc_id, label 0 or 1 (others are left out; of several for one id, or of several texts, the smallest counts); sample bounds
     the labelled rows that are fitted, those with the smallest hash of their id.  A null or empty text has
     features of zero; a null doc_id stays null; without both classes every score is the smoothed base rate.
     """
@@ -199,7 +206,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = 20000, id_col: str
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the broadcast has `sample` rows at most
-    got = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").collect()
+    got = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     y = np.array([r.label for r in got], np.int64)
     if len(np.unique(y)) < 2:
         return rows.select("doc_id", F.lit(float((y.sum() + 1) / (len(y) + 2))).alias("score"))

@@ -2,13 +2,17 @@
 
 Everything works on one flat byte buffer plus document offsets, so a batch of documents is cut into
 words, hashed and windowed by a few numpy passes instead of a Python loop over words.  Names of words and
-windows are 64-bit; two different words of a corpus share a name with probability about n*n / 2**65.
+windows are 64-bit and made by steps of multiplication, addition and shifts that don't commute, so that no
+pattern of letters or words makes two of them alike; of n different strings two share a name with a
+probability of about n*n / 2**65.  rolled() alone is a polynomial, for which such patterns exist: what it finds
+must be compared byte by byte.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +22,9 @@ import pyarrow.compute as pc
 # Python workers are kept between tasks; blocks of 2 MB or more go back to the system as soon as they are free
 pa.set_memory_pool(pa.system_memory_pool())
 with contextlib.suppress(OSError, AttributeError):
-    ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD of glibc
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD of glibc
+    _LIBC.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD: smaller blocks are not given back and faulted in again each time
 
 U64 = np.uint64
 #: Bytes that part words: space and U+0009 to U+000D.
@@ -35,8 +41,12 @@ _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**63, 256, d
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-#: Documents are handled about so many bytes at a time.
-PIECE = 1 << 19
+#: Multipliers of the names of strings, and masks for the first 0 to 8 bytes of a word of the machine.
+_SIZE, _FIRST, _SECOND = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
+_MASK = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+#: Documents are handled about so many bytes at a time, as the arrays of a piece should fit the cache of a core
+#: (512 KB took three times as long); strings beyond LONG bytes are named one by one.
+PIECE, LONG = 1 << 17, 1024
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,9 +87,9 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def pieces(buf: np.ndarray, off: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole documents of about `limit` bytes: first, last + 1, their bytes, their offsets."""
-    at, n = 0, len(off) - 1
+def pieces(buf: np.ndarray, off: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole documents of about `limit` bytes (PIECE): first, last + 1, their bytes, their offsets."""
+    at, n, limit = 0, len(off) - 1, limit or PIECE
     while at < n:
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
         yield at, to, buf[off[at] : off[to]], off[at : to + 1] - off[at]
@@ -110,17 +120,77 @@ def folded(buf: np.ndarray) -> np.ndarray:
 
 
 def prefix(buf: np.ndarray) -> np.ndarray:
-    """Running sums from which name() takes the name of any span."""
+    """Running sums from which rolled() takes the name of any span."""
     c = np.zeros(len(buf) + 1, U64)
     np.cumsum(_BYTE[buf] * powers(len(buf))[0], out=c[1:])
     return c
 
 
-def name(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit names of the spans; equal bytes have equal names."""
+def rolled(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial names of the spans, from prefix(); equal names must be checked."""
     return mix((c[ends] - c[starts]) * powers(len(c))[1][starts] + (ends - starts).astype(U64))
 
 
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one integer (zeros beyond the end), one position more than bytes."""
+    x = np.zeros(len(buf) + 8, np.uint8)
+    x[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", x, 0, (1,)).astype(U64)
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Names of pairs; the order counts."""
+    h = a ^ (a >> U64(32))
+    h *= _FIRST
+    h += b
+    h *= _SECOND
+    return h
+
+
+def name(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, eight: np.ndarray | None = None) -> np.ndarray:
+    """64-bit names of the spans; equal bytes have equal names.  eight: eights(buf), if it is there already."""
+    eight = eights(buf) if eight is None else eight
+    size = ends - starts
+    h = mix(size.astype(U64) * _SIZE ^ (eight[starts] & _MASK[np.minimum(size, 8)]))
+    rest, step = np.flatnonzero(size > 8), 8
+    while len(rest) and step < LONG:
+        at = starts[rest] + step
+        h[rest] = mix(joined(h[rest], eight[at] & _MASK[np.minimum(ends[rest] - at, 8)]))
+        step += 8
+        rest = rest[size[rest] > step]
+    for k in rest.tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def every(buf: np.ndarray, width: int) -> np.ndarray:
+    """Names of the `width` bytes from each position on, by doubling; fewer bytes than `width`: none."""
+    n = len(buf) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    h = eights(buf)[: max(n, len(buf) - 7)]
+    if width < 8:
+        return mix(h[:n] & _MASK[width])
+    size = 8
+    while size < width:
+        step = min(size, width - size)
+        h = joined(h[: len(h) - step], h[step:])
+        size += step
+    return mix(h)
+
+
+def sequence(names: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int = 1) -> np.ndarray:
+    """Names of runs of names: `sizes` of them from each start on; step: every so many, and the last one in any case."""
+    h = sizes.astype(U64) * _SIZE
+    rows, k = np.flatnonzero(sizes > 0), 0
+    while len(rows):
+        at = np.minimum(k, sizes[rows] - 1)
+        h[rows] = joined(h[rows], names[starts[rows] + at])
+        rows = rows[at < sizes[rows] - 1]
+        k += step
+    return mix(h)
+
+
 def grams(names: np.ndarray, n: int) -> np.ndarray:
     """Name of each run of n consecutive names; shorter than n: none."""
     m = max(0, len(names) - n + 1)

@@ -19,6 +19,8 @@ from . import textkit as K
 
 #: Bytes of benchmark text that are sent to the executors at a time; larger benchmarks take several passes.
 BLOCK = 32 << 20
+#: Hits of seeds that are looked at together.
+HITS = 1 << 20
 
 
 def names_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,7 +29,7 @@ def names_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for _, _, x, o in K.pieces(buf, off):
         x = K.folded(x)
         starts, ends, first = K.words(x, o, K.MARKS)
-        out.append(K.name(K.prefix(x), starts, ends))
+        out.append(K.name(x, starts, ends))
         per.append(np.diff(first))
     if not out:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
@@ -78,19 +80,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, match: int = 4, coverage: float
     than `match` words are never reported; null ids stay null; repeated documents and items are reported
     each.  The benchmark is sent in blocks of BLOCK bytes, by hash of its text, one pass each.
     """
-    spark = docs.sparkSession
+    out = None
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    for sent in _blocks(benchmark, match, item_col, item_text):
+        found = texts.mapInArrow(_finder(sent, match, coverage), "doc_id long, item_id long, coverage double, n_tiles long, tiled_words long")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, n_tiles long, tiled_words long")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, match: int = 4, coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that leaks() finds no item in; rows are looked at one by one, whatever their ids."""
+    for sent in _blocks(benchmark, match, item_col, item_text):
+        docs = docs.where(_leaks_nothing(sent, match, coverage)(F.col(text_col).cast("string")))
+    return docs
+
+
+def _leaks_nothing(sent, match: int, coverage: float):
+    @F.arrow_udf("boolean")
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = np.ones(len(texts), bool)
+            out[[r[0] for r in _found(sent.value, *names_of(*K.flat(texts)), match, coverage)]] = False
+            yield pa.array(out)
+
+    return rate
+
+
+def _blocks(benchmark: DataFrame, match: int, item_col: str, item_text: str) -> Iterator:
+    """The benchmark as broadcasts of about BLOCK bytes."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = -(-size // BLOCK) or 1
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
         if rows:
-            sent = spark.sparkContext.broadcast(_Items([r.item for r in rows], [r.text for r in rows], match))
-            found = texts.mapInArrow(_finder(sent, match, coverage), "doc_id long, item_id long, coverage double, n_tiles long, tiled_words long")
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, coverage double, n_tiles long, tiled_words long")
+            yield spark.sparkContext.broadcast(_Items([r.item for r in rows], [r.text for r in rows], match))
 
 
 class _Items:
@@ -108,46 +133,62 @@ class _Items:
         self.bits[(self.seed & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
 
+def _found(own: _Items, names: np.ndarray, first: np.ndarray, match: int, coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """(text, item, coverage, tiles, words under them) of the texts that leak an item."""
+    sizes = np.diff(own.first)
+    if not len(own.seed) or len(names) < match:
+        return
+    g = K.grams(names, match)
+    at = np.flatnonzero(own.bits[(g & np.uint64((1 << 22) - 1)).astype(np.int64)])
+    at = at[K.in_document(first, match)[at]]
+    lo, hi = np.searchsorted(own.seed, g[at], "left"), np.searchsorted(own.seed, g[at], "right")
+    at, lo, times = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+    whole = np.cumsum(times)
+    begin = np.searchsorted(first, at, "right") - 1
+    cut = K.runs(begin)
+    at_ = 0
+    while at_ < len(cut) - 1:
+        # some texts at a time, so that their hits are bounded unless one text alone has more
+        base = whole[cut[at_] - 1] if cut[at_] else 0
+        to = max(at_ + 1, int(np.searchsorted(whole[cut[1:] - 1], base + HITS, "right")))
+        q = slice(cut[at_], cut[to])
+        yield from _pairs(own, sizes, names, first, np.repeat(at[q], times[q]), K.spans(lo[q], times[q]), match, coverage)
+        at_ = to
+
+
+def _pairs(own: _Items, sizes: np.ndarray, names: np.ndarray, first: np.ndarray, where: np.ndarray, seed: np.ndarray, match: int, coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
+    doc, item, place = np.searchsorted(first, where, "right") - 1, own.item[seed], own.place[seed]
+    order = np.lexsort((where, item, doc))
+    doc, item, place, where = doc[order], item[order], place[order], where[order]
+    cut = K.runs(doc * len(sizes) + item)
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        k = int(item[i])
+        # seeds cover at least what tiles can
+        under = np.zeros(sizes[k], bool)
+        begin = np.unique(place[i:j]) - own.first[k]
+        for n in range(match):
+            under[begin + n] = True
+        if under.sum() < coverage * sizes[k]:
+            continue
+        # the parts of the document under seeds, parted by names that occur in no item
+        spots = np.unique(where[i:j])
+        spots = np.unique(np.concatenate([spots + n for n in range(match)]))
+        gap = np.flatnonzero(np.diff(spots) > 1) + 1
+        part = np.insert(names[spots], gap, np.uint64(0))
+        found = tiles(own.names[own.first[k] : own.first[k + 1]], part, match)
+        words = sum(n for _, _, n in found)
+        if words >= coverage * sizes[k]:
+            yield int(doc[i]), k, words / int(sizes[k]), len(found), words
+
+
 def _finder(sent, match: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        sizes = np.diff(own.first)
         for batch in batches:
-            names, first = names_of(*K.flat(batch.column(1)))
-            doc_ids = batch.column(0)
+            doc_ids, (names, first) = batch.column(0), names_of(*K.flat(batch.column(1)))
             del batch  # before the next one is read
-            rows = []
-            if len(own.seed) and len(names) >= match:
-                g = K.grams(names, match)
-                at = np.flatnonzero(own.bits[(g & np.uint64((1 << 22) - 1)).astype(np.int64)])
-                at = at[K.in_document(first, match)[at]]
-                lo, hi = np.searchsorted(own.seed, g[at], "left"), np.searchsorted(own.seed, g[at], "right")
-                where = np.repeat(at, hi - lo)
-                seed = K.spans(lo, hi - lo)
-                doc, item, place = np.searchsorted(first, where, "right") - 1, own.item[seed], own.place[seed]
-                order = np.lexsort((where, item, doc))
-                doc, item, place, where = doc[order], item[order], place[order], where[order]
-                cut = K.runs(doc * len(sizes) + item)
-                for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    k = int(item[i])
-                    # seeds cover at least what tiles can
-                    under = np.zeros(sizes[k], bool)
-                    begin = np.unique(place[i:j]) - own.first[k]
-                    for n in range(match):
-                        under[begin + n] = True
-                    if under.sum() < coverage * sizes[k]:
-                        continue
-                    # the parts of the document under seeds, parted by names that occur in no item
-                    spots = np.unique(where[i:j])
-                    spots = np.unique(np.concatenate([spots + n for n in range(match)]))
-                    gap = np.flatnonzero(np.diff(spots) > 1) + 1
-                    part = np.insert(names[spots], gap, np.uint64(0))
-                    found = tiles(own.names[own.first[k] : own.first[k + 1]], part, match)
-                    words = sum(n for _, _, n in found)
-                    if words >= coverage * sizes[k]:
-                        rows.append((int(doc[i]), own.ids[k], words / int(sizes[k]), len(found), words))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            ids = doc_ids.take(pa.array(cols[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["doc_id", "item_id", "coverage", "n_tiles", "tiled_words"])
+            cols = list(zip(*_found(own, names, first, match, coverage), strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(([own.ids[k] for k in cols[1]], *cols[2:]), kinds, strict=True))], ["doc_id", "item_id", "coverage", "n_tiles", "tiled_words"])
 
     return run

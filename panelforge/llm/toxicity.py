@@ -30,16 +30,16 @@ def features(buf: np.ndarray, off: np.ndarray, only: np.ndarray | None = None) -
     for a, b, raw, o in K.pieces(buf, off):
         x = K.folded(raw)
         starts, ends, first = K.words(x, o, K.MARKS)
-        c = K.prefix(x)
+        eight = K.eights(x)
         row = np.repeat(np.arange(b - a), np.diff(first))
         rows, ids = [], []
         for size in (0, *HEADS):
             if size:
                 long = np.flatnonzero(ends - starts > size)
-                name = K.name(c, starts[long], starts[long] + size) ^ np.uint64(0x9E6C63D0876A9A62)
+                name = K.name(x, starts[long], starts[long] + size, eight) ^ np.uint64(0x9E6C63D0876A9A62)
                 of = row[long]
             else:
-                name, of = K.name(c, starts, ends), row
+                name, of = K.name(x, starts, ends, eight), row
             k = (name & np.uint64(SPACE - 1)).astype(np.int64)
             if only is not None:
                 keep = only[k]
@@ -75,6 +75,7 @@ class Model:
     weights: np.ndarray
     pattern_weights: np.ndarray
     bias: float
+    fitted: bool = True
 
     def scorer(self):
         only = np.zeros(SPACE, bool)
@@ -184,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, voters: int =
 
     width bounds the features that are looked at for the classifier, voters those of the label model;
     sample bounds the labelled rows that are fitted, those with the smallest hash of their id; of several
-    labels for one id the smallest counts.  Without both classes every score is the smoothed base rate.
+    labels, or texts, for one id the smallest counts.  Without both classes every score is the smoothed base rate.
     """
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -198,11 +199,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, voters: int =
                 yield pa.RecordBatch.from_arrays([pa.array(label[a : a + len(shape)]), pa.array([ids[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([s.astype(np.uint8).tobytes() for s in shape], pa.binary())], ["label", "ids", "shape"])
 
     # the broadcast has `sample` rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(run, "label long, ids binary, shape binary").collect()
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    rows = own.select("text", "label").mapInArrow(run, "label long, ids binary, shape binary").collect()
     given = np.array([r.label for r in rows], np.int64)
     if len(np.unique(given)) < 2:
         base = (given.sum() + 1) / (len(given) + 2)
-        return Model(np.zeros(0, np.int64), np.zeros((0, LEVELS)), np.zeros(len(PATTERNS)), float(np.log(base / (1 - base))))
+        return Model(np.zeros(0, np.int64), np.zeros((0, LEVELS)), np.zeros(len(PATTERNS)), float(np.log(base / (1 - base))), False)
     # an order that depends on the rows alone
     order = np.lexsort(([len(r.ids) for r in rows], [int(np.frombuffer(r.ids, np.uint32).sum(dtype=np.int64)) for r in rows], given))
     given, shape = given[order], np.array([np.frombuffer(rows[k].shape, np.uint8) for k in order], np.float32)
@@ -290,7 +292,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, model: Model, below: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that score less than `below`; only texts go to Python."""
+    """The rows of docs, with all their columns, that score less than `below`; all, if there were no labels of both classes to learn from.  Only texts go to Python."""
+    if not model.fitted:
+        return docs
 
     @F.arrow_udf("double")
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

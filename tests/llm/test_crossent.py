@@ -19,7 +19,7 @@ def corpus(seed=1, n=120):
 
 def brute(rows, target, size):
     words = [K.folded(np.frombuffer((t or "").encode(), np.uint8)).tobytes().split() for _, t in rows]
-    name = lambda w: int(K.name(K.prefix(b := np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(b)]))[0])
+    name = lambda w: int(K.name(b := np.frombuffer(w, np.uint8), np.array([0]), np.array([len(b)]))[0])
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     freq = Counter(w for ws in words for w in ws)
     order = sorted(freq, key=lambda w: (-freq[w], signed(name(w))))
@@ -35,19 +35,24 @@ def brute(rows, target, size):
                     tables[own][0][w] += 1
                     tables[own][1][one(v, w)] += 1
                     tables[own][2][one(v, w, u)] += 1
-    tokens = sum(tables[1][0].values())
+    tokens = [sum(tables[own][0].values()) for own in (0, 1)]
+    texts = [sum(bool(t) for t in tri), sum(bool(t) for (i, _), t in zip(rows, tri, strict=True) if i in target)]
     out = []
     for (i, _), t in zip(rows, tri, strict=True):
         losses = []
         for own in (1, 0):
-            a, b, c = tables[own]
-            s = tokens / max(1, sum(a.values()))
+            # the counts of all other documents
+            mine = [Counter(w for w, _, _ in t), Counter(one(v, w) for w, v, _ in t), Counter(one(v, w, u) for w, v, u in t)] if own == 0 or i in target else [Counter()] * 3
+            a, b, c = (lambda x, y=y, z=z: y[x] - z[x] for y, z in zip(tables[own], mine, strict=True))
+            left, others = tokens[own] - sum(mine[0].values()), texts[own] - bool(mine[0])
+            s = 1.0 if own else tokens[1] / max(1, tokens[0])
             total = 0.0
             for w, v, u in t:
-                p = (a[w] * s + C.STRENGTH / C.SIZES[0]) / (tokens + C.STRENGTH)
-                p = (b[one(v, w)] * s + C.STRENGTH * p) / ((tokens / 100 if v == 0 else a[v] * s) + C.STRENGTH)
-                p = (c[one(v, w, u)] * s + C.STRENGTH * p) / ((tokens / 100 if v == 0 else b[one(u, v)] * s) + C.STRENGTH)
-                total -= math.log(min(p, 1))
+                p = (a(w) * s + C.STRENGTH / C.SIZES[0]) / (left * s + C.STRENGTH)
+                p = (b(one(v, w)) * s + C.STRENGTH * p) / ((others * s if v == 0 else a(v) * s) + C.STRENGTH)
+                p = (c(one(v, w, u)) * s + C.STRENGTH * p) / ((others * s if v == 0 else b(one(u, v)) * s) + C.STRENGTH)
+                assert 0 < p <= 1
+                total -= math.log(p)
             losses.append(total / len(t) if t else None)
         out.append((i, len(t), *losses))
     return out
@@ -93,12 +98,39 @@ def test_counts_grow_with_the_corpus(spark):
     got = C.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0,), (1,)], "doc_id long")).collect()
     scale, base = 200 / 140000, C.STRENGTH / 70002
     for r in got:
-        for loss, c, s in ((r.target_loss, 1 if r.doc_id % 700 < 2 else 0, 1.0), (r.background_loss, 2, scale)):
+        own = r.doc_id < 2
+        for loss, c, s, tokens, texts in ((r.target_loss, int(r.doc_id % 700 < 2 and not own), 1.0, 200 - 100 * own, 2 - own), (r.background_loss, 1, scale, 139900, 1399)):
             c, total = c * s, 0.0
             for k in range(100):
-                p = (c + base) / (200 + C.STRENGTH)
-                p = (c + C.STRENGTH * p) / ((2 if k == 0 else c) + C.STRENGTH)
-                p = (c + C.STRENGTH * p) / ((2 if k == 0 else c) + C.STRENGTH)
+                p = (c + base) / (tokens * s + C.STRENGTH)
+                p = (c + C.STRENGTH * p) / ((texts * s if k == 0 else c) + C.STRENGTH)
+                p = (c + C.STRENGTH * p) / ((texts * s if k == 0 else c) + C.STRENGTH)
                 total -= math.log(p)
             assert loss == pytest.approx(total / 100, rel=1e-9)
     assert len(got) == 1400
+
+
+def test_probabilities_add_up():
+    """After any context the losses of all words make probabilities that add up to 1 less what ends there."""
+    r = random.Random(2)
+    texts = [[r.randrange(6) for _ in range(r.randrange(1, 9))] for _ in range(50)]
+    size, grams = 6, [Counter(), Counter(), Counter()]
+    for t in texts:
+        p = [None, None, *t]
+        for k in range(2, len(p)):
+            for n in range(3):
+                grams[n][tuple(p[k - n : k + 1])] += 1
+    tokens, begin = sum(map(len, texts)), np.array([False, False, False])
+    uniform = max(C.SIZES[0], size + 2)
+    for u in range(size):
+        for v in range(size):
+            total, none = 0.0, grams[0][v,] - sum(grams[1][v, w] for w in range(size))
+            for w in range(size):
+                # three tokens: the context's two, and the word
+                count = np.array([[grams[0][u,], grams[0][v,], grams[0][w,]], [0, grams[1][u, v], grams[1][v, w]], [0, 0, grams[2][u, v, w]]])
+                total += math.exp(-C.losses(count, np.full(3, tokens), np.full(3, len(texts)), 1.0, size, begin)[2])
+            s = C.STRENGTH
+            one = (tokens + s * size / uniform) / (tokens + s)
+            two = (sum(grams[1][v, w] for w in range(size)) + s * one) / (grams[0][v,] + s)
+            three = (sum(grams[2][u, v, w] for w in range(size)) + s * two) / (grams[1][u, v] + s)
+            assert math.isclose(total, three) and total <= 1 and (none or math.isclose(two, one, rel_tol=0.02))

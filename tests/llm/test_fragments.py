@@ -71,17 +71,48 @@ def test_against_brute_force(spark, monkeypatch, seed, hot, cell):
     assert got == brute(rows)
 
 
+def test_hot_nodes_and_rows_apart(spark, monkeypatch):
+    monkeypatch.setattr(fragments, "HEAVY", 2)
+    rows = [(k, "the same five words and more") for k in range(40)] + [(k, f"{k} other words of this row") for k in range(40, 60)] + [(3, "unlike all the others here now"), (None, "the same five words and more"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fragments.jaccard_components(docs, rows_apart=True).collect()
+    assert sorted((tuple(x)[:3] for x in got), key=str) == brute(rows)
+    assert len({x.component for x in got if x.doc_id == 3}) == 2 and len({x.component for x in got}) == 23
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = thue_morse(10)
+    rows = [(1, f"{a} {a}"), (2, f"{b} {b}"), (3, " ".join(a)), (4, " ".join(b)), (5, f"{b} {b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in fragments.jaccard_components(docs).collect()) == brute(rows)
+
+
+def thue_morse(k):
+    """A string of 2^k letters and its complement, which have one polynomial value modulo 2^64 from k = 10 on."""
+    s = "a"
+    for _ in range(k):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
 def test_empty(spark):
     assert fragments.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, None), (2, ""), (3, None)]
     assert sorted(tuple(x) for x in fragments.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
 
 
-@pytest.mark.parametrize("few", [0, 1 << 20])
-def test_components(spark, monkeypatch, few):
-    from panelforge.llm import components as module
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_components(spark, parts):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts == "1"))
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        check_components(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
 
-    monkeypatch.setattr(module, "FEW", few)
+def check_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (7, 7), (10, 11), (12, 11), (12, 13), (13, 14), (-5, 14), (None, 3)]
     got = {tuple(x) for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (10, -5), (11, -5), (12, -5), (13, -5), (14, -5), (-5, -5)}

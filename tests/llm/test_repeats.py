@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import test_fragments
 
 from panelforge.llm import fm_index, shards, suffix
 from panelforge.llm import textkit as K
@@ -88,6 +89,25 @@ def test_bytes_against_brute_force(spark, monkeypatch, seed, width, gram, hot):
     assert sorted(got, key=str) == sorted(bytes_brute(rows, width), key=str)
 
 
+def test_report_of_shorter_strings(spark, monkeypatch):
+    for hot in (4096, 1):
+        monkeypatch.setattr(shards, "HOT", hot)
+        rows = corpus(4)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "CAST(doc_id AS STRING) AS a", "length(text) AS b").repartition(3)
+        got = suffix.suffix_dedup(docs, 90, 12, report=40, keep="text", carry=("a", "b")).collect()
+        assert sorted([tuple(r)[:5] for r in got], key=str) == sorted(bytes_brute(rows, 90), key=str)
+        assert sorted([(r.doc_id, r.n_repeated) for r in got], key=str) == sorted([(x[0], x[2]) for x in bytes_brute(rows, 40)], key=str)
+        assert sorted([(r.doc_id, r.a, r.b) for r in got], key=str) == sorted([(i, None if i is None else str(i), None if t is None else len(t)) for i, t in rows], key=str)
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = test_fragments.thue_morse(10)
+    rows = [(1, " ".join([a] * 14)), (2, " ".join([b] * 14)), (3, " ".join(a)), (4, " ".join(b)), (5, a), (6, b), (7, " ".join([b] * 13))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in fm_index.substring_dedup(docs).collect()) == sorted(words_brute(rows, 13))
+    assert sorted(tuple(r) for r in suffix.suffix_dedup(docs).collect()) == sorted(bytes_brute(rows, 400))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert fm_index.substring_dedup(docs).count() == suffix.suffix_dedup(docs).count() == 0

@@ -65,7 +65,7 @@ def brute(docs, items, match, coverage):
         for k, x in items:
             v = words(x)
             if len(v) >= match:
-                found = brute_tiles(v, w[:400], match)
+                found = brute_tiles(v, w, match)
                 n = sum(f[2] for f in found)
                 if n >= coverage * len(v):
                     out.append((d, k, n / len(v), n))
