@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shards import durable
+from .shards import durable, swept
+
+#: Edges (16 bytes each) that a partition is given to contract.
+EDGES = 1 << 16
 
 
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,20 +38,22 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    return durable(edges.distinct().mapInArrow(_union, "a long, b long"))
+    own = durable(edges.distinct())
+    return durable(own.coalesce(max(1, -(-own.count() // EDGES))).mapInArrow(_union, "a long, b long"))
 
 
 def _done(now: DataFrame) -> bool:
     """Whether all edges are stars: no node has two labels, and no label has one."""
     ends = now.select(F.col("b").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("label")).unionByName(now.select(F.col("a").alias("n"), F.lit(0).alias("leaf"), F.lit(1).alias("label")))
-    return ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("label").alias("label")).where("leaf + label > 1 AND leaf > 0").isEmpty()
+    with swept(now.sparkSession):
+        return ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("label").alias("label")).where("leaf + label > 1 AND leaf > 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): label is the component's smallest node.
 
     Null ends and loops are dropped, so a node with nothing but loops has no row.  Each round first contracts
-    the edges inside each partition, so that a partition holds at most an edge for each of its nodes; the
+    the edges inside each partition of about EDGES, which leaves at most an edge for each of its nodes; the
     steps between them run over the cluster until all edges are stars.  Minima are summed up before they are
     joined back, and each round is written to the shared folder.
     """

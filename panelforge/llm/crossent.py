@@ -267,14 +267,8 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     p = sizes(docs)
     sent = docs.sparkSession.sparkContext.broadcast(limited(docs, p))
     blocks = shards.packed(docs, p).select("block", F.lit(_TEXTS).alias("bucket"), "payload").unionByName(targets(target, p))
-    # the questions' shuffle files are larger than all that follows, and of no use once the replies are written
-    conf, key = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key)
-    conf.set(key, "true")
-    try:
-        replies = shards.durable(replied(blocks, p, sent))
-    finally:
-        conf.set(key, before)
+    # the questions' shuffle files are larger than all that follows; they go once the replies are written
+    replies = shards.durable(replied(blocks, p, sent))
     sums = replies.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "tokens", "own"))).first()
     words, tokens, scale = sums.words, (sums.tokens, sums.own), sums.own / max(1, sums.tokens)
 

@@ -21,6 +21,7 @@ and name.  Nothing is collected to the driver.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
 import tempfile
@@ -59,10 +60,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions inside go when their action ends, and not with the next collection of the driver's garbage."""
+    conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder, so that a lost executor loses none."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with swept(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

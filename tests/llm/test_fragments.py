@@ -101,15 +101,16 @@ def test_empty(spark):
     assert sorted(tuple(x) for x in fragments.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
 
 
-@pytest.mark.parametrize("parts", ["1", "7"])
-def test_components(spark, parts):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts == "1"))
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
+@pytest.mark.parametrize("edges", [1 << 16, 20])
+def test_components(spark, monkeypatch, edges):
+    from panelforge.llm import components as module
+
+    monkeypatch.setattr(module, "EDGES", edges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         check_components(spark)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def check_components(spark):
