@@ -47,3 +47,12 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["ticker", "metric_name", "value", "category"] and df.count() == 40
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_archive_holds_the_package():
+    import zipfile
+
+    import __spark_entry__
+
+    names = zipfile.ZipFile(__spark_entry__.archive()).namelist()
+    assert "panelforge/__init__.py" in names and "panelforge/operators/metrics.py" in names
