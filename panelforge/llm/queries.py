@@ -45,7 +45,7 @@ def op3_crossent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.suffix_dedup(_table(spark, sf_dir, "documents"))
+    return suffix.suffix_dedup(_table(spark, sf_dir, "documents"), report=200)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def plan(docs: DataFrame) -> Plan:
     """From the total size; one pass over the texts' lengths."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    return Plan(max(2 * parts, math.ceil(size / BLOCK)), max(2 * parts, math.ceil(size / BUCKET)))
+    return Plan(max(parts, math.ceil(size / BLOCK)), max(parts, math.ceil(size / BUCKET)))
 
 
 def with_block(docs: DataFrame, p: Plan, spread: bool = False) -> DataFrame:
