@@ -76,7 +76,8 @@ def durable(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder, so that a lost executor loses none."""
     shared_folder(df.sparkSession)
     with swept(df.sparkSession):
-        return df.checkpoint(eager=True)
+        # a plan of its own, as the setting counts when a plan is made
+        return df.select("*").checkpoint(eager=True)
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
