@@ -138,8 +138,11 @@ def beta_per_ticker(returns: DataFrame, benchmark: str) -> DataFrame:
 
 
 def invariants(returns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Tickers that break a rule: VaR at a higher level below one at a lower, CVaR below VaR, a positive drawdown."""
-    w = wide(returns, settings)
+    return broken_rules(wide(returns, settings), settings)
+
+
+def broken_rules(w: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(ticker, broken) of the tickers whose metrics break a rule: VaR at a higher level below one at a lower, CVaR below VaR, a positive drawdown."""
     names = [level_name("var", x) for x in sorted(settings.var_levels)]
     rules = [F.when(F.col(b) < F.col(a), f"{b}<{a}") for a, b in zip(names, names[1:], strict=False)]
     rules += [F.when(F.col(level_name("cvar", x)) < F.col(level_name("var", x)), f"{level_name('cvar', x)}<{level_name('var', x)}") for x in settings.cvar_levels if x in settings.var_levels]

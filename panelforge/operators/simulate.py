@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
@@ -23,6 +23,10 @@ METHODS = ("gbm", "bootstrap", "block_bootstrap")
 PORTFOLIO = "PORTFOLIO"
 KEYS = ["scenario_name", "ticker"]
 _TICKER = re.compile(r"[A-Z0-9.\-]{1,15}")
+#: Simulations of a ticker that are drawn side by side.
+RUNS = 1024
+#: Bytes of Cholesky's factor up to which it is broadcast (some 2,000 tickers).
+FACTOR_BYTES = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -46,8 +50,8 @@ def gbm_params(returns: DataFrame, settings: Settings = DEFAULTS, drift: str = "
 
 
 def last_prices(prices: DataFrame) -> DataFrame:
-    """(ticker, s0): the last close that isn't null."""
-    return prices.where("close IS NOT NULL").groupBy("ticker").agg(F.max_by("close", "date").alias("s0"))
+    """(ticker, s0, last_date): the last close that isn't null, and its date."""
+    return prices.where("close IS NOT NULL").groupBy("ticker").agg(F.max_by("close", "date").alias("s0"), F.max("date").alias("last_date"))
 
 
 def parse_tickers(text: str | None, known: list[str]) -> tuple[list[str], list[str]]:
@@ -67,8 +71,12 @@ def parse_bool(value, default: bool) -> bool:
     return value.strip().lower() in ("true", "1", "yes") if isinstance(value, str) else bool(value)
 
 
-def _runs(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).withColumnRenamed("id", "simulation_id")
+def _runs(own: DataFrame, n: int) -> DataFrame:
+    """A row of each ticker for each simulation: tickers are dealt out with blocks of RUNS simulations, nothing is broadcast."""
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = own.where(F.lit(n > 0)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0) // RUNS)))).repartition(parts, "ticker", "_block")
+    first = F.col("_block").cast("long") * RUNS
+    return blocks.withColumn("simulation_id", F.explode(F.sequence(first, F.least(first + RUNS, F.lit(n).cast("long")) - 1))).drop("_block")
 
 
 def _days(horizon: int) -> Column:
@@ -86,8 +94,7 @@ def _path(scenario: Scenario, df: DataFrame, values: Column) -> DataFrame:
 
 def simulate_gbm(scenario: Scenario, params: DataFrame, s0: DataFrame, seed: int) -> DataFrame:
     """Geometric Brownian motion with the Ito correction; one row per ticker and simulation."""
-    base = F.broadcast(params.join(s0, "ticker"))  # a row per ticker
-    df = _runs(params.sparkSession, scenario.n_simulations).crossJoin(base)
+    df = _runs(params.join(s0, "ticker"), scenario.n_simulations)
     z = lambda d: normal(F.lit(seed), F.col("ticker"), F.col("simulation_id"), d)
     steps = F.transform(_days(scenario.horizon), lambda d: F.col("mu_daily") - 0.5 * F.col("sigma_daily") * F.col("sigma_daily") + F.col("sigma_daily") * z(d))
     logs = _running(steps, F.lit(0.0), lambda a, x: a + x)
@@ -107,8 +114,7 @@ def simulate_bootstrap(scenario: Scenario, returns: DataFrame, s0: DataFrame, se
     hist = history(returns).join(s0, "ticker")
     if block > 1 and (short := hist.where(F.size("hist") <= block).select("ticker").first()):
         raise ValueError(f"block_size {block} is not below the number of returns of {short.ticker}")
-    # a history is as long as the calendar, and there is one for each ticker
-    df = _runs(returns.sparkSession, scenario.n_simulations).crossJoin(F.broadcast(hist))
+    df = _runs(hist, scenario.n_simulations)
     n = F.size("hist")
     start = lambda d: F.floor(uniform(F.lit(seed), F.col("ticker"), F.col("simulation_id"), F.floor((d - 1) / block)) * n)
     at = lambda d: (start(d) + (d - 1) % block) % n
@@ -147,12 +153,13 @@ def simulate_correlated(scenario: Scenario, params: DataFrame, s0: DataFrame, co
     if np.isnan(corr).any():
         raise ValueError("the correlation matrix has a null")
     lower = np.linalg.cholesky(corr if is_positive_definite(corr) else nearest_positive_definite(corr))
-    factor = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in lower])
     own = {r.ticker: r for r in params.join(s0, "ticker").where(F.col("ticker").isin(tickers)).collect()}
-    one = F.array(*[F.struct(F.lit(k).alias("i"), F.lit(t).alias("ticker"), F.lit(float(own[t].mu_daily)).alias("mu"), F.lit(float(own[t].sigma_daily)).alias("sigma"), F.lit(float(own[t].s0)).alias("s0")) for k, t in enumerate(tickers)])
+    spark = params.sparkSession
+    # a row of the factor for each ticker
+    rows = spark.createDataFrame([(t, float(own[t].mu_daily), float(own[t].sigma_daily), float(own[t].s0), lower[k].tolist()) for k, t in enumerate(tickers)], "ticker string, mu double, sigma double, s0 double, factor array<double>")
     z = F.transform(F.array(*[F.lit(t) for t in tickers]), lambda t: F.transform(_days(scenario.horizon), lambda d: normal(F.lit(seed), t, F.col("simulation_id"), d)))
-    df = _runs(params.sparkSession, scenario.n_simulations).withColumn("z", z).withColumn("p", F.explode(one)).select("simulation_id", "z", "p.*")
-    mixed = lambda d: F.aggregate(F.zip_with(factor[F.col("i")], F.col("z"), lambda a, b: a * F.element_at(b, d)), F.lit(0.0), lambda acc, x: acc + x)
+    df = spark.range(scenario.n_simulations).withColumnRenamed("id", "simulation_id").withColumn("z", z).crossJoin(F.broadcast(rows) if lower.nbytes <= FACTOR_BYTES else rows)
+    mixed = lambda d: F.aggregate(F.zip_with(F.col("factor"), F.col("z"), lambda a, b: a * F.element_at(b, d)), F.lit(0.0), lambda acc, x: acc + x)
     steps = F.transform(_days(scenario.horizon), lambda d: F.col("mu") - 0.5 * F.col("sigma") * F.col("sigma") + F.col("sigma") * mixed(d))
     logs = _running(steps, F.lit(0.0), lambda a, x: a + x)
     return _path(scenario, df, F.transform(logs, lambda x: F.col("s0") * F.exp(x)))
@@ -268,9 +275,3 @@ def broken_invariants(mc_metrics: DataFrame) -> DataFrame:
     w = mc_metrics.groupBy(*KEYS).agg(*[F.max(F.when(F.col("metric_name") == m, F.col("value"))).alias(m) for m in ("var_95", "var_99", "cvar_95")])
     rules = F.array_compact(F.array(F.when(F.col("var_99") < F.col("var_95"), "var_99<var_95"), F.when(F.col("cvar_95") < F.col("var_95"), "cvar_95<var_95")))
     return w.select(*KEYS, F.explode(rules).alias("broken"))
-
-
-def windowed(paths: DataFrame) -> DataFrame:
-    """full_paths with the running peak, for charts."""
-    w = Window.partitionBy("scenario_name", "ticker", "simulation_id").orderBy("day_offset").rowsBetween(Window.unboundedPreceding, 0)
-    return full_paths(paths).withColumn("peak", F.max("value").over(w))

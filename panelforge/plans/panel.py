@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, contracts, eda, metrics
+from ..operators import cleaning, contracts, eda, metrics, simulate
 from ..sources import bars as B
 from ..sources import files
 from . import sql as S
@@ -177,7 +177,7 @@ def _(s, d):
 
 @query("last_prices", S.build(WEEK, select="SELECT ticker, round(arg_max(close, date), 6) AS s0, max(date) AS last_date FROM bars GROUP BY ticker"))
 def _(s, d):
-    return B.order_bars(s, d, "week").where("close IS NOT NULL").groupBy("ticker").agg(F.max_by("close", "date").alias("s0"), F.max("date").alias("last_date"))
+    return simulate.last_prices(B.order_bars(s, d, "week"))
 
 
 @query("counts_and_ranges", S.build(WEEK, select="SELECT count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers, min(date) AS first_date, max(date) AS last_date FROM bars"))
@@ -247,9 +247,15 @@ def _(s, d):
     return metrics.beta_per_ticker(weekly(s, d), BENCHMARK)
 
 
-@query("metric_invariants", S.build(WEEK, *_ALL, select="SELECT ticker, 'cvar_95<var_95' AS broken FROM risk WHERE cvar_95 < var_95 UNION ALL SELECT ticker, 'var_99<var_95' FROM risk WHERE var_99 < var_95"))
+# metrics with planted faults, as sound ones break no rule
+_PLANTED = "planted AS (SELECT ticker, var_95, CASE WHEN ticker IN ('1-URGENT', '5-LOW') THEN var_95 / 2 ELSE var_99 END AS var_99, CASE WHEN ticker = '2-HIGH' THEN var_95 / 2 ELSE cvar_95 END AS cvar_95, CASE WHEN ticker = '5-LOW' THEN 0.25 ELSE max_drawdown END AS max_drawdown FROM risk)"
+
+
+@query("metric_invariants", S.build(WEEK, *_ALL, _PLANTED, select="SELECT ticker, 'cvar_95<var_95' AS broken FROM planted WHERE cvar_95 < var_95 UNION ALL SELECT ticker, 'var_99<var_95' FROM planted WHERE var_99 < var_95 UNION ALL SELECT ticker, 'max_drawdown>0' FROM planted WHERE max_drawdown > 0"))
 def _(s, d):
-    return metrics.invariants(weekly(s, d)).select("ticker", F.explode("broken").alias("broken"))
+    t, half = F.col("ticker"), F.col("var_95") / 2
+    planted = metrics.wide(weekly(s, d)).withColumns({"var_99": F.when(t.isin("1-URGENT", "5-LOW"), half).otherwise(F.col("var_99")), "cvar_95": F.when(t == "2-HIGH", half).otherwise(F.col("cvar_95")), "max_drawdown": F.when(t == "5-LOW", 0.25).otherwise(F.col("max_drawdown"))})
+    return metrics.broken_rules(planted).select("ticker", F.explode("broken").alias("broken"))
 
 
 _PORT = """names AS (SELECT DISTINCT ticker FROM rets WHERE ticker <> '3-MEDIUM'),
@@ -414,7 +420,12 @@ def _(s, d):
     return eda.density(weekly(s, d))
 
 
-@query("return_qq")
+_QQ = f"""o AS (SELECT ticker, r AS ordered, row_number() OVER (PARTITION BY ticker ORDER BY r) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM rets),
+    p AS (SELECT *, CASE WHEN i = n THEN pow(0.5::DOUBLE, 1.0::DOUBLE / n) WHEN i = 1 THEN 1 - pow(0.5::DOUBLE, 1.0::DOUBLE / n) ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM o WHERE n >= 30),
+    points AS (SELECT *, {S.normal_quantile('p')} AS theoretical FROM p), line AS (SELECT ticker, regr_slope(ordered, theoretical) AS slope, regr_intercept(ordered, theoretical) AS intercept FROM points GROUP BY ticker)"""
+
+
+@query("return_qq", S.build(WEEK, S.RETURNS, _QQ, select="SELECT ticker, i, round(theoretical, 6) AS theoretical, round(ordered, 6) AS ordered, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM points JOIN line USING (ticker)"))
 def _(s, d):
     return eda.qq(weekly(s, d))
 

@@ -123,8 +123,10 @@ def _panel(spark: SparkSession, folders: Folders) -> tuple[DataFrame, DataFrame]
 
 
 def run_eda(spark: SparkSession, folders: Folders, settings: Settings = DEFAULTS, sectors: DataFrame | None = None) -> dict:
-    """The summary, and the data behind each chart as a table."""
+    """The summary, and the data behind each chart as a table; sectors: (ticker, sector), else those of the metadata, if there are any."""
     clock = Clock()
+    if sectors is None and (meta := files.read_json(f"{folders.raw}/metadata.json")):
+        sectors = spark.createDataFrame([(t, (m or {}).get("sector") or None) for t, m in meta.items()], "ticker string, sector string")
     prices, returns = _panel(spark, folders)
     charts = {
         "01_price_trends": {"moving_averages": eda.moving_averages(prices, settings.moving_windows), "volumes": eda.volume_trend(prices)},

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import DEFAULTS
 from ..functions.rng import scenario_seed
 from ..functions.stats import interval_z
 from ..operators import cleaning, forecast, simulate
@@ -31,23 +31,22 @@ def query(name: str, oracle: str | None = None, digits: int = 6):
 
 
 # ── forecasts ────────────────────────────────────────────────────────────────
-H, LEVEL = 12, 0.95
-FAST = Settings(train_initial=150, step=40)
+H, LEVEL = 30, 0.95
 Z = repr(interval_z(LEVEL))
-BASE = (S.orders("week"), S.RETURNS)
+BASE = (S.orders("day"), S.RETURNS)
 DATA = {
     "returns": "ser AS (SELECT ticker, date, r AS y FROM rets)",
     "prices": "ser AS (SELECT ticker, date, ln(close) AS y FROM bars)",
 }
 
 
-def _panel(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = B.order_bars(s, d, "week")
+def _panel(s: SparkSession, d: str, grain: str = "day") -> tuple[DataFrame, DataFrame]:
+    p = B.order_bars(s, d, grain)
     return p, cleaning.compute_returns(p)
 
 
-def _data(s: SparkSession, d: str, target: str) -> DataFrame:
-    return forecast.series(*_panel(s, d), target)
+def _data(s: SparkSession, d: str, target: str, grain: str = "day") -> DataFrame:
+    return forecast.series(*_panel(s, d, grain), target)
 
 
 def _naive_sql(method: str, source: str, keys: str) -> str:
@@ -65,7 +64,7 @@ for _name, _method, _target in (("naive_random_walk", "random_walk", "returns"),
 
 
 FOLDS = f"""num AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM ser),
-    folds AS (SELECT ticker, fold, 0::BIGINT AS train_start, {FAST.train_initial} + fold * {FAST.step} AS train_end FROM (SELECT ticker, unnest(range(0, (n - {FAST.train_initial} - {H}) // {FAST.step} + 1)) AS fold FROM (SELECT DISTINCT ticker, n FROM num WHERE n >= {FAST.train_initial + H}))),
+    folds AS (SELECT ticker, fold, 0::BIGINT AS train_start, {DEFAULTS.train_initial} + fold * {DEFAULTS.step} AS train_end FROM (SELECT ticker, unnest(range(0, (n - {DEFAULTS.train_initial} - {H}) // {DEFAULTS.step} + 1)) AS fold FROM (SELECT DISTINCT ticker, n FROM num WHERE n >= {DEFAULTS.train_initial + H}))),
     train AS (SELECT num.ticker, fold, date, y FROM num JOIN folds ON num.ticker = folds.ticker AND i < train_end),
     test AS (SELECT num.ticker, fold, date, y, i - train_end + 1 AS step FROM num JOIN folds ON num.ticker = folds.ticker AND i >= train_end AND i < train_end + {H}),
     ends AS (SELECT ticker, fold, min(date) AS fold_start_date, max(date) AS fold_end_date FROM train GROUP BY 1, 2)"""
@@ -77,14 +76,14 @@ def _walk(method: str) -> str:
 
 @query("walk_forward_folds", S.build(*BASE, DATA["returns"], FOLDS, select="SELECT ticker, fold, train_start, train_end FROM folds"))
 def _(s, d):
-    return forecast.folds(_data(s, d, "returns"), FAST.train_initial, FAST.step, H)
+    return forecast.folds(_data(s, d, "returns"), DEFAULTS.train_initial, DEFAULTS.step, H)
 
 
 for _name, _method, _target in (("walk_forward_random_walk", "random_walk", "returns"), ("walk_forward_drift", "drift", "prices"), ("walk_forward_mean", "mean", "returns")):
 
     @query(_name, S.build(*BASE, DATA[_target], FOLDS, _walk(_method), select="SELECT ticker, fold, fold_start_date, fold_end_date, forecast_date, round(actual, 6) AS actual, round(predicted, 6) AS predicted, round(lower_ci, 6) AS lower_ci, round(upper_ci, 6) AS upper_ci FROM walk"))
     def _(s, d, method=_method, target=_target):
-        return forecast.walk_forward(_data(s, d, target), f"naive_{method}", H, LEVEL, FAST)
+        return forecast.walk_forward(_data(s, d, target), f"naive_{method}", H, LEVEL, DEFAULTS)
 
 
 _MEASURE = """SELECT ticker, sqrt(avg((actual - predicted) ^ 2)) AS rmse, avg(abs(actual - predicted)) AS mae, avg(abs((actual - predicted) / actual)) FILTER (abs(actual) > 1e-8) * 100 AS mape, avg((sign(predicted) = sign(actual))::INT) AS directional_accuracy,
@@ -94,14 +93,14 @@ _NAMES = ", ".join(forecast.METRICS)
 
 @query("forecast_metrics", S.build(*BASE, DATA["returns"], FOLDS, _walk("mean"), f"m AS ({_MEASURE.format('walk')})", select=f"SELECT ticker, metric_name, round(value, 6) AS value FROM (UNPIVOT m ON {_NAMES} INTO NAME metric_name VALUE value)"))
 def _(s, d):
-    return forecast.forecast_metrics(forecast.walk_forward(_data(s, d, "returns"), "naive_mean", H, LEVEL, FAST))
+    return forecast.forecast_metrics(forecast.walk_forward(_data(s, d, "returns"), "naive_mean", H, LEVEL, DEFAULTS))
 
 
 def _three(s: SparkSession, d: str) -> DataFrame:
     p, r = _panel(s, d)
     out = None
     for m in ("naive_random_walk", "naive_drift", "naive_mean"):
-        part = forecast.run_scenario(forecast.Scenario(f"s_{m}", m, "returns", H, LEVEL), p, r, FAST)[1]
+        part = forecast.run_scenario(forecast.Scenario(f"s_{m}", m, "returns", H, LEVEL), p, r, DEFAULTS)[1]
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -121,9 +120,9 @@ def _(s, d):
 
 
 @query("forecast_scenario", S.build(*BASE, DATA["prices"], "ld AS (SELECT ticker, max(date) AS last_date FROM ser GROUP BY ticker)", select=f"""SELECT 'drift' AS scenario_name, ticker, 'naive_drift' AS model_type, 'prices' AS target, d AS forecast_date, round(forecast, 6) AS forecast, round(lower_ci, 6) AS lower_ci, round(upper_ci, 6) AS upper_ci, 0.95::DOUBLE AS confidence_level
-    FROM ({_naive_sql('drift', 'ser', 'ticker')}) JOIN (SELECT ticker, d::DATE AS d, row_number() OVER (PARTITION BY ticker ORDER BY d) - 1 AS step FROM (SELECT ticker, unnest(generate_series(last_date, last_date + INTERVAL 40 DAY, INTERVAL 1 DAY)) AS d FROM ld) WHERE isodow(d) < 6) USING (ticker, step)"""))
+    FROM ({_naive_sql('drift', 'ser', 'ticker')}) JOIN (SELECT ticker, d::DATE AS d, row_number() OVER (PARTITION BY ticker ORDER BY d) - 1 AS step FROM (SELECT ticker, unnest(generate_series(last_date, last_date + INTERVAL 60 DAY, INTERVAL 1 DAY)) AS d FROM ld) WHERE isodow(d) < 6) USING (ticker, step)"""))
 def _(s, d):
-    return forecast.run_scenario(forecast.Scenario("drift", "naive_drift", "prices", H, LEVEL), *_panel(s, d), FAST)[0]
+    return forecast.run_scenario(forecast.Scenario("drift", "naive_drift", "prices", H, LEVEL), *_panel(s, d), DEFAULTS)[0]
 
 
 @query("stationarity_adf")
@@ -131,14 +130,15 @@ def _(s, d):
     return forecast.stationarity(_panel(s, d)[1])
 
 
+# an ARIMA search takes seconds a fit: weekly bars
 @query("forecast_arima")
 def _(s, d):
-    return forecast.fitted(_data(s, d, "returns"), "arima_returns", H, LEVEL)
+    return forecast.fitted(_data(s, d, "returns", "week"), "arima_returns", H, LEVEL)
 
 
 @query("forecast_arima_log_prices")
 def _(s, d):
-    return forecast.fitted(_data(s, d, "prices"), "arima_log_prices", H, LEVEL)
+    return forecast.fitted(_data(s, d, "prices", "week"), "arima_log_prices", H, LEVEL)
 
 
 @query("forecast_trend_seasonal")
@@ -148,16 +148,16 @@ def _(s, d):
 
 @query("walk_forward_arima")
 def _(s, d):
-    return forecast.walk_forward(_data(s, d, "returns"), "arima_returns", H, LEVEL, FAST)
+    return forecast.walk_forward(_data(s, d, "returns", "week"), "arima_returns", H, LEVEL, DEFAULTS)
 
 
 @query("walk_forward_trend_seasonal")
 def _(s, d):
-    return forecast.walk_forward(_data(s, d, "prices"), "prophet", H, LEVEL, FAST)
+    return forecast.walk_forward(_data(s, d, "prices"), "prophet", H, LEVEL, DEFAULTS)
 
 
 # ── simulations ──────────────────────────────────────────────────────────────
-N, DAYS, BLOCK = 200, 10, 4
+N, DAYS, BLOCK = 10_000, 30, 10
 CALM = "bars AS (SELECT date_trunc('month', o_orderdate)::DATE AS date, o_orderpriority AS ticker, avg(o_totalprice) AS close FROM orders GROUP BY 1, 2)"
 PANEL = (CALM, S.RETURNS, "s0 AS (SELECT ticker, arg_max(close, date) AS s0 FROM bars GROUP BY ticker)", "par AS (SELECT ticker, avg(lr) AS mu, coalesce(stddev_samp(lr), 0) AS sigma, count(lr) AS n FROM rets GROUP BY ticker)")
 TICKERS = "(SELECT DISTINCT ticker FROM rets)"
@@ -211,7 +211,7 @@ def _(s, d):
 
 for _m in simulate.METHODS:
 
-    @query(f"simulate_{_m}", S.build(*paths_sql(_m, SEEDS[_m]), select=f"SELECT '{_m}_q' AS scenario_name, ticker, sim AS simulation_id, day::BIGINT AS day_offset, round(v, 2) AS value FROM paths"), 2)
+    @query(f"simulate_{_m}", S.build(*paths_sql(_m, SEEDS[_m]), select=f"SELECT '{_m}_q' AS scenario_name, ticker, sim AS simulation_id, day::BIGINT AS day_offset, round(v, 0) AS value FROM paths"), 0)
     def _(s, d, m=_m):
         return simulate.full_paths(paths(s, d, m))
 
@@ -240,7 +240,7 @@ def _(s, d):
     return simulate.path_percentiles(paths(s, d, "gbm")).drop("date")
 
 
-@query("path_percentile_dates", S.build(CALM, "x AS (SELECT max(date) AS d FROM bars)", "days AS (SELECT t::DATE AS date, row_number() OVER (ORDER BY t) - 1 AS day_offset FROM (SELECT unnest(generate_series(d, d + INTERVAL 40 DAY, INTERVAL 1 DAY)) AS t FROM x) WHERE isodow(t) < 6)", select=f"SELECT day_offset, date FROM days WHERE day_offset <= {DAYS}"))
+@query("path_percentile_dates", S.build(CALM, "x AS (SELECT max(date) AS d FROM bars)", "days AS (SELECT t::DATE AS date, row_number() OVER (ORDER BY t) - 1 AS day_offset FROM (SELECT unnest(generate_series(d, d + INTERVAL 60 DAY, INTERVAL 1 DAY)) AS t FROM x) WHERE isodow(t) < 6)", select=f"SELECT day_offset, date FROM days WHERE day_offset <= {DAYS}"))
 def _(s, d):
     p = calm(s, d)[0]
     last = p.agg(F.max("date")).first()[0]
@@ -292,6 +292,12 @@ def _(s, d):
     return simulate.method_comparison(_port_vc(s, d))
 
 
-@query("var_cvar_invariants", S.build(*_G, _TERM, _VAR, select="SELECT 'gbm_q' AS scenario_name, ticker, 'var_99<var_95' AS broken FROM vc WHERE var_99 < var_95 UNION ALL SELECT 'gbm_q', ticker, 'cvar_95<var_95' FROM vc WHERE cvar_95 < var_95"))
+# planted faults, as sound metrics break no rule
+_FAULTS = "planted AS (SELECT ticker, var_95, CASE WHEN ticker = '1-URGENT' THEN var_99 - 1 ELSE var_99 END AS var_99, CASE WHEN ticker IN ('1-URGENT', '5-LOW') THEN cvar_95 - 1 ELSE cvar_95 END AS cvar_95 FROM vc)"
+
+
+@query("var_cvar_invariants", S.build(*_G, _TERM, _VAR, _FAULTS, select="SELECT 'gbm_q' AS scenario_name, ticker, 'var_99<var_95' AS broken FROM planted WHERE var_99 < var_95 UNION ALL SELECT 'gbm_q', ticker, 'cvar_95<var_95' FROM planted WHERE cvar_95 < var_95"))
 def _(s, d):
-    return simulate.broken_invariants(simulate.simulated_var_cvar(paths(s, d, "gbm")))
+    t, m = F.col("ticker"), F.col("metric_name")
+    fault = ((t == "1-URGENT") & m.isin("var_99", "cvar_95")) | ((t == "5-LOW") & (m == "cvar_95"))
+    return simulate.broken_invariants(simulate.simulated_var_cvar(paths(s, d, "gbm")).withColumn("value", F.when(fault, F.col("value") - 1).otherwise(F.col("value"))))

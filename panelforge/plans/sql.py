@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.calendar import nyse_holidays
+from ..functions.stats import FAR, MIDDLE, TAIL
 
 EVENTS = "bars AS (SELECT ts::DATE AS date, event_type AS ticker, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS volume FROM events GROUP BY 1, 2)"
 
@@ -40,5 +41,19 @@ def build(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
 
+def normal_quantile(p: str) -> str:
+    """The same approximation as functions.stats.normal_quantile_of."""
+
+    def polynomial(coefficients: tuple[float, ...], x: str) -> str:
+        out = f"{coefficients[0]!r}::DOUBLE"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + {c!r}::DOUBLE)"
+        return out
+
+    share = lambda pair, x: f"{polynomial(pair[0], x)} / {polynomial(pair[1], x)}"
+    q, depth = f"({p} - 0.5::DOUBLE)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * ({share(MIDDLE, f'(0.180625::DOUBLE - {q} * {q})')}) WHEN {depth} <= 5 THEN sign({q}) * ({share(TAIL, f'({depth} - 1.6::DOUBLE)')}) ELSE sign({q}) * ({share(FAR, f'({depth} - 5)')}) END"
+
+
 def corr(x: str, y: str, over: str = "") -> str:
     return f"covar_samp({x}, {y}){over} / nullif(stddev_samp({x}){over} * stddev_samp({y}){over}, 0)"

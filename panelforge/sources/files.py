@@ -158,8 +158,8 @@ def with_retry(call: Callable, attempts: int = 3, first: float = 1.0, most: floa
 
 
 # ── sinks ────────────────────────────────────────────────────────────────────
-def write_table(df: DataFrame, folder: str, name: str, files: int | None = 1) -> str:
-    """Parquet with snappy, sorted for equal reruns; files: how many, None for as many as Spark makes (large tables)."""
+def write_table(df: DataFrame, folder: str, name: str, files: int | None = None) -> str:
+    """Parquet with snappy, dealt by ranges of its sort keys for equal reruns; files: how many, None for as many as its size asks for (a small table is one)."""
     path = f"{folder}/{name}.parquet"
     keys = [c for c in SORTED_BY.get(name, ()) if c in df.columns]
     out = df.orderBy(*keys) if keys else df

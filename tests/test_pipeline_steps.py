@@ -35,7 +35,7 @@ def raw(spark):
 
 def test_all_steps(spark, raw, tmp_path):
     f = P.Folders(str(tmp_path))
-    meta = {"aaa": {"currency": "USD", "marketCap": 5}, "BBB": {"currency": "EUR", "beta": 1.5}}
+    meta = {"aaa": {"currency": "USD", "marketCap": 5}, "BBB": {"currency": "EUR", "beta": 1.5, "sector": "Tech"}}
     r = P.run_ingestion(spark, raw, ["aaa", "BBB", "THIN", "NONE"], dt.date(2022, 1, 1), dt.date(2024, 1, 1), f, meta)
     assert r["tickers_failed"] == ["NONE"] and r["rows_fetched"] == raw.count()
     meta_file = json.loads(Path(f"{f.raw}/metadata.json").read_text())
@@ -47,6 +47,7 @@ def test_all_steps(spark, raw, tmp_path):
     assert report["output"]["tickers"] == 2 and "EUR,USD" in report["currency_warning"]
     e = P.run_eda(spark, f, s)
     assert set(e["distribution_stats"]) == {"AAA", "BBB"} and e["correlations"]["matrix"]["AAA"]["AAA"] == 1 and e["charts"]["by_block"]["02_return_distributions"] == 4
+    assert e["correlations"]["sector_avg_correlation"] == {"Tech": 0.0, "Unknown": 0.0} and e["charts"]["by_block"]["04_correlations"] == 3
     m = P.run_metrics(spark, f, s)
     assert m["invariants_broken"] == {} and m["per_ticker"]["BBB"]["beta_vs_benchmark"] is None and m["per_ticker"]["AAA"]["max_drawdown"] < 0
     c = P.run_forecasting(spark, f, [forecast.Scenario("rw", "naive_random_walk", "returns", 10, 0.95), forecast.Scenario("mean", "naive_mean", "returns", 10, 0.95), forecast.Scenario("bad", "magic", "returns", 10, 0.95)], s)

@@ -9,13 +9,13 @@ from panelforge.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["return_metrics", "calendar_reindex", "clean_prices", "risk_metrics", "drawdown_duration", "portfolio_metrics", "rolling_metrics", "distribution_stats", "sector_corr_matrix", "flat_price_runs", "walk_forward_drift", "best_model_per_ticker", "simulate_block_bootstrap", "terminal_distribution", "method_comparison"]
+SAMPLE = ["return_qq", "metric_invariants", "var_cvar_invariants", "last_prices", "return_metrics", "calendar_reindex", "clean_prices", "risk_metrics", "drawdown_duration", "portfolio_metrics", "rolling_metrics", "distribution_stats", "sector_corr_matrix", "flat_price_runs", "walk_forward_drift", "best_model_per_ticker", "simulate_block_bootstrap", "terminal_distribution", "method_comparison"]
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables")
 
 
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
-    assert set(registry.QUERIES) - set(registry.ORACLE) == {"return_qq", "stationarity_adf", "forecast_arima", "forecast_arima_log_prices", "forecast_trend_seasonal", "walk_forward_arima", "walk_forward_trend_seasonal", "simulate_portfolio_correlated"}
+    assert set(registry.QUERIES) - set(registry.ORACLE) == {"stationarity_adf", "forecast_arima", "forecast_arima_log_prices", "forecast_trend_seasonal", "walk_forward_arima", "walk_forward_trend_seasonal", "simulate_portfolio_correlated"}
 
 
 def plain(rows, names):
