@@ -79,22 +79,6 @@ FAR = (
 )
 
 
-def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
-    out = F.lit(coefficients[0])
-    for c in coefficients[1:]:
-        out = out * x + F.lit(c)
-    return out
-
-
-def normal_quantile_of(p: Column) -> Column:
-    """The standard normal quantile of a column between 0 and 1, both excluded; null elsewhere."""
-    q = p - 0.5
-    share = lambda pair, x: _polynomial(pair[0], x) / _polynomial(pair[1], x)
-    depth = F.sqrt(-F.ln(F.least(p, 1 - p)))
-    outside = F.when(depth <= 5, share(TAIL, depth - 1.6)).otherwise(share(FAR, depth - 5.0))
-    return F.when((p <= 0) | (p >= 1), F.lit(None).cast("double")).when(F.abs(q) <= 0.425, q * share(MIDDLE, 0.180625 - q * q)).otherwise(F.signum(q) * outside)
-
-
 def interval_z(level: float) -> float:
     """Half the width of a central interval of this level, in standard deviations."""
     return normal_quantile(0.5 + level / 2)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from ..functions.stats import by_date, correlation, jarque_bera_p, last_rows, normal_quantile_of, sample_kurtosis, sample_skewness
+from ..functions.stats import by_date, correlation, jarque_bera_p, last_rows, sample_kurtosis, sample_skewness
 
 
 def distribution_stats(returns: DataFrame) -> DataFrame:
@@ -149,13 +150,19 @@ def density(returns: DataFrame, points: int = 300) -> DataFrame:
     return both.groupBy("ticker", "k", "x", "h").agg(F.avg(F.exp(-0.5 * z * z)).alias("m")).select("ticker", F.col("k").cast("long").alias("k"), "x", (F.col("m") / (F.col("h") * math.sqrt(2 * math.pi))).alias("y"))
 
 
+def _ppf(batches):
+    for pdf in batches:
+        pdf["theoretical"] = [NormalDist().inv_cdf(p) for p in pdf["p"]]
+        yield pdf
+
+
 def qq(returns: DataFrame, least: int = DEFAULTS.min_qq_rows) -> DataFrame:
     """(ticker, i, theoretical, ordered, slope, intercept): order statistics against the medians of normal ones, with the fitted line."""
     n = F.count("*").over(Window.partitionBy("ticker"))
     rows = returns.select("ticker", F.col("simple_return").alias("ordered"), F.row_number().over(Window.partitionBy("ticker").orderBy("simple_return")).cast("long").alias("i"), n.alias("n")).where(F.col("n") >= least)
     end = F.pow(F.lit(0.5), 1 / F.col("n"))
     median = F.when(F.col("i") == F.col("n"), end).when(F.col("i") == 1, 1 - end).otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
-    points = rows.select("ticker", "i", "ordered", median.alias("p")).withColumn("theoretical", normal_quantile_of(F.col("p")))
+    points = rows.select("ticker", "i", "ordered", median.alias("p")).mapInPandas(_ppf, "ticker string, i long, ordered double, p double, theoretical double")
     line = points.groupBy("ticker").agg(F.regr_slope("ordered", "theoretical").alias("slope"), F.regr_intercept("ordered", "theoretical").alias("intercept"))
     return points.join(line, "ticker").select("ticker", "i", "theoretical", "ordered", "slope", "intercept")
 

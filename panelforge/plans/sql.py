@@ -42,7 +42,7 @@ def build(*ctes: str, select: str) -> str:
 
 
 def normal_quantile(p: str) -> str:
-    """The same approximation as functions.stats.normal_quantile_of."""
+    """The standard normal quantile by algorithm AS 241."""
 
     def polynomial(coefficients: tuple[float, ...], x: str) -> str:
         out = f"{coefficients[0]!r}::DOUBLE"

@@ -5,7 +5,6 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from panelforge.operators import cleaning, eda
 
@@ -87,14 +86,3 @@ def test_chart_tables(returns):
 def test_counts(panel):
     r = eda.counts_and_ranges(panel(A=[1.0, 2.0], B=[1.0])).first()
     assert tuple(r) == (3, 2, dt.date(2024, 1, 2), dt.date(2024, 1, 3))
-
-
-def test_normal_quantile(spark):
-    from statistics import NormalDist
-
-    from panelforge.functions.stats import normal_quantile_of
-
-    p = [1e-300, 1e-13, 1e-6, 0.01, 0.0749, 0.075, 0.3, 0.5, 0.7, 0.925, 0.9251, 0.999, 1 - 1e-12]
-    got = spark.createDataFrame([(x,) for x in p], "p double").select("p", normal_quantile_of(F.col("p")).alias("q")).collect()
-    assert [r.q for r in got] == pytest.approx([NormalDist().inv_cdf(r.p) for r in got], rel=1e-12, abs=1e-15)
-    assert spark.createDataFrame([(0.0,), (1.0,)], "p double").select(normal_quantile_of(F.col("p")).alias("q")).where("q IS NOT NULL").isEmpty()
