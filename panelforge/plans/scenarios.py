@@ -106,10 +106,12 @@ def _three(s: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = ", ".join(f"w_{m} AS ({_walk(m)[len('walk AS ('):-1]})" for m in ("random_walk", "drift", "mean"))
-_MET = "met AS (" + " UNION ALL ".join(f"SELECT 's_naive_{m}' AS scenario_name, 'naive_{m}' AS model, * FROM ({_MEASURE.format(f'w_{m}')})" for m in ("random_walk", "drift", "mean")) + ")"
+# a series that is long enough for a forecast and too short for a fold has metrics, all null
+_NAMED = f"(SELECT ticker FROM ser GROUP BY ticker HAVING count(*) >= {max(H, DEFAULTS.min_observations)})"
+_MET = "met AS (" + " UNION ALL ".join(f"SELECT 's_naive_{m}' AS scenario_name, 'naive_{m}' AS model, * FROM {_NAMED} LEFT JOIN ({_MEASURE.format(f'w_{m}')}) USING (ticker)" for m in ("random_walk", "drift", "mean")) + ")"
 
 
-@query("best_model_per_ticker", S.build(*BASE, DATA["returns"], FOLDS, _ALL, _MET, select="SELECT ticker, arg_min(model, (rmse, scenario_name)) AS model, round(min(rmse), 6) AS rmse, CASE WHEN arg_min(model, (rmse, scenario_name)) <> 'naive_random_walk' THEN min(rmse) < min(rmse) FILTER (model = 'naive_random_walk') END AS beats_random_walk FROM met GROUP BY ticker"))
+@query("best_model_per_ticker", S.build(*BASE, DATA["returns"], FOLDS, _ALL, _MET, select="SELECT ticker, arg_min(model, (rmse, scenario_name)) FILTER (rmse IS NOT NULL) AS model, round(min(rmse), 6) AS rmse, CASE WHEN arg_min(model, (rmse, scenario_name)) FILTER (rmse IS NOT NULL) <> 'naive_random_walk' THEN min(rmse) < min(rmse) FILTER (model = 'naive_random_walk') END AS beats_random_walk FROM met GROUP BY ticker"))
 def _(s, d):
     return forecast.best_models(_three(s, d))
 
