@@ -185,7 +185,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
 
 
 def members(docs: DataFrame, p: shards.Plan, labels: DataFrame, n: int) -> DataFrame:
-    """(cluster, node, size, payload): the n-grams of each node that has a cluster."""
+    """(cluster, node, size, payload, weight): the n-grams of each node that has a cluster, and its number of rows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=3)
@@ -206,13 +206,13 @@ def members(docs: DataFrame, p: shards.Plan, labels: DataFrame, n: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]], pa.int32()), pa.array(out, pa.binary())], ["block", "payload"])
 
     def pick(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"cluster": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
+        none = pa.table({"cluster": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "payload": pa.array([], pa.binary()), "weight": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
             return none
         codec, seen = pa.Codec("zstd"), set()
         node = np.array(right["node"], np.int64)
         order = np.argsort(node)
-        node, cluster = node[order], np.array(right["label"], np.int64)[order]
+        node, cluster, weight = node[order], np.array(right["label"], np.int64)[order], np.array(right["weight"], np.int64)[order]
         out: list = []
         for x in left["payload"]:
             x = x.as_buffer()
@@ -224,14 +224,14 @@ def members(docs: DataFrame, p: shards.Plan, labels: DataFrame, n: int) -> DataF
             for k in np.flatnonzero(at >= 0).tolist():
                 if at[k] not in seen:
                     seen.add(at[k])
-                    out.append((cluster[at[k]], node[at[k]], cut[k + 1] - cut[k], g[cut[k] : cut[k + 1]].tobytes()))
+                    out.append((cluster[at[k]], node[at[k]], cut[k + 1] - cut[k], g[cut[k] : cut[k + 1]].tobytes(), weight[at[k]]))
         if not out:
             return none
-        a, b, c, d = zip(*out, strict=True)
-        return pa.table({"cluster": pa.array(a, pa.int64()), "node": pa.array(b, pa.int64()), "size": pa.array(c, pa.int64()), "payload": pa.array(d, pa.binary())})
+        a, b, c, d, e = zip(*out, strict=True)
+        return pa.table({"cluster": pa.array(a, pa.int64()), "node": pa.array(b, pa.int64()), "size": pa.array(c, pa.int64()), "payload": pa.array(d, pa.binary()), "weight": pa.array(e, pa.int64())})
 
-    told = labels.select(_block(F.col("node"), p.blocks).alias("block"), "node", "label")
-    return docs.select("text").mapInArrow(send, "block int, payload binary").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(pick, "cluster long, node long, size long, payload binary")
+    told = labels.select(_block(F.col("node"), p.blocks).alias("block"), "node", "label", "weight")
+    return docs.select("text").mapInArrow(send, "block int, payload binary").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(pick, "cluster long, node long, size long, payload binary, weight long")
 
 
 def _block(node, blocks: int):
@@ -239,10 +239,10 @@ def _block(node, blocks: int):
     return F.pmod(F.pmod(node, F.lit(blocks)) + F.when(node < 0, F.lit(2**64 % blocks)).otherwise(F.lit(0)), F.lit(blocks)).cast("int")
 
 
-def links(cells: DataFrame, percent: int, cuts: np.ndarray, share, counted: bool = False) -> DataFrame:
-    """(a, b): a spanning forest of the links of each cell; counted: (node, n), the sum of `weight` over the nodes linked with each.
+def links(cells: DataFrame, percent: int, cuts: np.ndarray, share, forest: bool = True, counted: bool = False) -> DataFrame:
+    """(a, b): a spanning forest of the links of each cell, if `forest`; counted: (a, b, n), also rows with a null b and in n the sum of `weight` over the nodes linked with a.
 
-    Where counted, a cell with both sides counts the pairs between them alone.
+    Of a cell with both sides the pairs between them alone are counted.
 
     cells: cell, side (0: compared with all of the cell; 1: compared with side 0 only), node, size, payload.
     Each fragment counts the overlaps of a cell's pairs in its part of the global order; the sums decide.
@@ -301,32 +301,35 @@ def links(cells: DataFrame, percent: int, cuts: np.ndarray, share, counted: bool
             total += np.frombuffer(codec.decompress(x.as_buffer(), 4 * n0 * n), np.uint32)
         total = total.reshape(n0, n)
         linked = (total > 0) & ((100 + percent) * total >= percent * (size[:n0, None] + size[None, :]))
-        if counted:
-            if n0 < n:
-                linked[:, :n0] = False
-            a, b = np.nonzero(linked)
-            sums = np.zeros(n, np.int64)
-            np.add.at(sums, a, weight[0][b])
-            np.add.at(sums, b, weight[0][a])
-            some = np.flatnonzero(sums)
-            return pa.table({"node": pa.array(node[some]), "n": pa.array(sums[some])})
-        a, b = np.nonzero(linked)
-        root = np.arange(n)
         out = []
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            while root[j] != j:
-                root[j] = j = root[root[j]]
-            if i != j:
-                out.append((node[i], node[j]))
-                root[max(i, j)] = min(i, j)
+        if forest:
+            a, b = np.nonzero(linked)
+            root = np.arange(n)
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                while root[j] != j:
+                    root[j] = j = root[root[j]]
+                if i != j:
+                    out.append((node[i], node[j]))
+                    root[max(i, j)] = min(i, j)
         pairs = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        edges = pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        if not counted:
+            return edges
+        if n0 < n:
+            linked[:, :n0] = False
+        a, b = np.nonzero(linked)
+        sums = np.zeros(n, np.int64)
+        np.add.at(sums, a, weight[0][b])
+        np.add.at(sums, b, weight[0][a])
+        some = np.flatnonzero(sums)
+        found = pa.table({"a": pa.array(node[some]), "b": pa.nulls(len(some), pa.int64()), "n": pa.array(sums[some])})
+        return pa.concat_tables([edges.append_column("n", pa.nulls(len(pairs), pa.int64())), found])
 
     parts = cells.select("cell", "side", "node", "size", "payload", *extra).mapInArrow(cut_up, "cell string, fragment int, side int, node long, size long, payload binary" + ", weight long" * counted)
     partial = parts.groupBy("cell", "fragment").applyInArrow(overlap, "cell string, head binary, payload binary")
-    return partial.groupBy("cell").applyInArrow(decide, "node long, n long" if counted else "a long, b long")
+    return partial.groupBy("cell").applyInArrow(decide, "a long, b long" + ", n long" * counted)
 
 
 class _Position:
@@ -361,17 +364,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     position = spark.sparkContext.broadcast(_Position(classes))
     cuts = np.arange(1, FRAGMENTS) / FRAGMENTS
     labels = components(candidates(prefixes(docs, p, sent, n, percent), percent))
+    rows = shards.durable(described(docs, n))
+    least = shards.durable(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight")))
+    labels = shards.durable(labels.join(least.select("node", "weight"), "node"))
     large = shards.durable(labels.groupBy("label").count().where(F.col("count") > CELL).select("label"))
     any_large = not large.isEmpty()
     few = labels.join(large, "label", "left_anti") if any_large else labels
+    row = ["node", "size", "payload", *["weight"] * n_links]
     # some small clusters to a cell
     many = max(1, -(-few.count() // 64))
-    small = members(docs, p, few, n)
-    found = shards.durable(links(small.select(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(many))).alias("cell"), F.lit(0).alias("side"), "node", "size", "payload"), percent, cuts, position))
+    cells = members(docs, p, few, n).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(many))).alias("cell"), F.lit(0).alias("side"), *row)
+    told = shards.durable(links(cells, percent, cuts, position, counted=n_links))
+    found = told.where("b IS NOT NULL").select("a", "b")
     if any_large:
-        found = found.unionByName(_large(members(docs, p, labels.join(large, "label", "left_semi"), n), percent, cuts, position))
-    rows = shards.durable(described(docs, n))
-    least = shards.durable(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight")))
+        placed = _placed(members(docs, p, labels.join(large, "label", "left_semi"), n))
+        found = found.unionByName(_large(placed, percent, cuts, position))
     # the rows of a node that has more than 1/HEAVY of all are dealt out; there are fewer than HEAVY such nodes
     total = least.agg(F.sum("weight").alias("n")).first().n or 0
     heavy = F.broadcast(least.where(F.col("weight") * HEAVY > total).select("node", F.lit(True).alias("heavy")))
@@ -389,13 +396,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     out = ["doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["component", "mark"] * rows_apart]
     if not n_links:
         return rows.join(everywhere(mine), ["node", "salt"], "left").select(*out)
-    weight = least.select("node", "weight")
-    row = ["node", "size", "payload", "weight"]
-    cells = small.join(weight, "node").select(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(many))).alias("cell"), F.lit(0).alias("side"), *row)
+    sums = told.where("b IS NULL")
     if any_large:
-        placed = _placed(members(docs, p, labels.join(large, "label", "left_semi"), n).join(weight, "node"))
-        cells = cells.unionByName(_all_cells(placed, percent, row))
-    linked = links(cells, percent, cuts, position, counted=True).groupBy("node").agg(F.sum("n").alias("linked"))
+        sums = sums.unionByName(links(_all_cells(placed, percent, row), percent, cuts, position, forest=False, counted=True))
+    linked = sums.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     counted = mine.join(linked, "node", "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("linked", F.lit(0)))
     return rows.join(everywhere(counted), ["node", "salt"], "left").select(*out, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -425,9 +429,8 @@ def _all_cells(placed: DataFrame, percent: int, row: list[str]) -> DataFrame:
     return own.unionByName(left).unionByName(right)
 
 
-def _large(nodes: DataFrame, percent: int, cuts: np.ndarray, position) -> DataFrame:
+def _large(placed: DataFrame, percent: int, cuts: np.ndarray, position) -> DataFrame:
     """Links of clusters beyond a cell: within cells, through a node of each cell, and of what is left with all."""
-    placed = _placed(nodes)
     row = ["node", "size", "payload"]
     inside = shards.durable(links(placed.select(F.concat_ws(":", F.lit("i"), "cluster", "slot", "part").alias("cell"), F.lit(0).alias("side"), *row), percent, cuts, position))
     # a node of the largest component of each cell meets those of other cells; one of each class of sizes meets all

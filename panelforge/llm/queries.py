@@ -56,10 +56,6 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fragments.jaccard_components(_table(spark, sf_dir, "documents"))
-
-
-def op6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragments.jaccard_components(_table(spark, sf_dir, "documents"), n_links=True)
 
 
@@ -80,7 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix": op4_suffix,
     "op5_toxicity": op5_toxicity,
     "op6_fragments": op6_fragments,
-    "op6_links": op6_links,
     "op7_fm_index": op7_fm_index,
     "op8_chat": op8_chat,
     "op9_tiling": op9_tiling,
@@ -115,8 +110,9 @@ ORACLE: dict[str, str] = {
         ), r AS (
             SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
         )
-        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.m, s.doc_id)) AS component_id
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.m, s.doc_id)) AS component_id, coalesce(c.n, 0)::BIGINT AS n_links
         FROM s LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) m ON m.a = s.doc_id
+        LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) c ON c.a = s.doc_id
     """,
     "op8_chat": r"""
         WITH t AS (
