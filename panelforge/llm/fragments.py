@@ -2,7 +2,10 @@
 
 All n-grams are put in one global order (rare ones first, by a sketch of counts of fixed size; any order
 gives the same links).  Sets with a Jaccard index of at least t share an n-gram among the first
-n - ceil(t n) + 1 of both, which yields clusters of sets that may be linked.  The global order is then cut
+n - ceil(t n) + 1 of both, and from t = 0.8 on two that follow each other in both, among the first
+2 (n - ceil(t n)) + 3: a member of one set alone parts but one such pair of shared ones.  That yields clusters
+of sets that may be linked; pairs, as the sketch can't tell rare lines from unique ones in a large corpus, and lines
+that a few sets share would join nearly all of them to one cluster.  The global order is then cut
 into fragments: each fragment counts the partial overlaps of a cluster's pairs on its own, and the counts
 are summed up for each pair.
 
@@ -32,6 +35,8 @@ CELL, FRAGMENTS, SKETCH = 1024, 4, 1 << 22
 #: Nodes with more than this part of all rows have their rows dealt out by so many salts.
 HEAVY, SALTS = 1000, 64
 _SLICES = 64
+#: From this percentage on linked sets share two n-grams that follow each other in the global order.
+PAIRED = 80
 _SHORT, _MOST = np.uint64(2**40 - 1), 2**16 - 1
 
 
@@ -69,6 +74,17 @@ def need(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // 100)
 
 
+def leading(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many n-grams of a set, in the global order, must be looked at to find what it shares with each linked one.
+
+    Of sets A and B with o members in common, |A| + |B| - 2 o others part as many neighbours among the common ones at most;
+    the first pair that is left ends at place (|A| + |B| - 2 o) + 2 + (|A| - o) of A or before, which is largest
+    where B is smallest, but for one by rounding.
+    """
+    spare = size - need(size, percent)
+    return np.minimum(size, 2 * spare + 3) if percent >= PAIRED else spare + 1
+
+
 def rarity(docs: DataFrame, n: int) -> np.ndarray:
     """A class for each counter of the sketch, by the count of n-grams that fall on it; low classes are rare.
 
@@ -111,10 +127,11 @@ def rarity(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, p: shards.Plan, classes, n: int, percent: int) -> DataFrame:
-    """(bucket, payload): the first n-grams of each set in the global order, by n-gram; with sets' names and sizes.
+    """(bucket, payload): the first n-grams of each set in the global order, or pairs of neighbours, by their names; with sets' names and sizes.
 
-    Five bytes of an n-gram's name and sizes up to _MOST do here: they can but add candidates.
+    Five bytes of a name and sizes up to _MOST do here: they can but add candidates.
     """
+    pairs = int(percent >= PAIRED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = classes.value
@@ -129,8 +146,11 @@ def prefixes(docs: DataFrame, p: shards.Plan, classes, n: int, percent: int) ->
             row = np.repeat(np.arange(len(rows)), size)
             order = np.lexsort((g, rare[(g & np.uint64(SKETCH - 1)).astype(np.int64)], row))
             start = np.cumsum(size) - size
-            take = size - need(size, percent) + 1
-            g, row = g[order][K.spans(start, take)], np.repeat(np.arange(len(rows)), take)
+            # sets of one member are linked with equal ones alone, which are the same node
+            take = leading(size, percent) - pairs
+            at, row = K.spans(start, take), np.repeat(np.arange(len(rows)), take)
+            g = g[order]
+            g = K.mix(g[at] * np.uint64(0x9E3779B97F4A7C15) + g[at + 1]) if pairs else g[at]
             bucket = ((g >> np.uint64(40)) % np.uint64(p.buckets)).astype(np.int64)
             order = np.lexsort((g & _SHORT, bucket))
             g, row, bucket = g[order], row[order], bucket[order]
@@ -146,7 +166,7 @@ def prefixes(docs: DataFrame, p: shards.Plan, classes, n: int, percent: int) ->
 
 
 def candidates(prefixed: DataFrame, percent: int) -> DataFrame:
-    """(a, b, asize, bsize): nodes that share a first n-gram, each with the next larger one if the sizes allow a link.
+    """(a, b, asize, bsize): nodes that share a first n-gram or pair, each with the next larger one if the sizes allow a link.
 
     In the order of sizes, nodes between two that may be linked may be linked with their neighbours, so these
     chains connect all that may be linked, in proportion to the number of nodes.

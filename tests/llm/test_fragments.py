@@ -137,3 +137,52 @@ def test_number_of_links(spark, monkeypatch, cell):
     got = fragments.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n_links=True).collect()
     assert sorted([(r.doc_id, r.n_links) for r in got], key=str) == sorted(want, key=str)
     assert max(n for _, n in want) > cell or cell > 16
+
+
+def test_leading_holds_a_shared_pair():
+    """Of any two linked sets the first n-grams that are looked at hold two neighbours that are neighbours in both."""
+    r = random.Random(9)
+    for _ in range(20000):
+        percent = r.choice([80, 80, 80, 85, 90, 97])
+        a = r.randrange(2, 60)
+        b = r.randrange(int(fragments.need(a, percent)), a + 1)
+        common = -(-percent * (a + b) // (100 + percent))
+        if common > b or a == b == common:
+            continue
+        # the others crowd at the start, where they part the first common ones, one each if there are as many
+        slots = list(range(common + 1)) if r.random() < 0.5 else list(range(a + b - 2 * common + 2))
+        order = [(k, 0, "c") for k in range(common)] + [(r.choice(slots) - 0.5, r.random(), x) for x in "a" * (a - common) + "b" * (b - common)]
+        order = sorted((k, t, x, n) for n, (k, t, x) in enumerate(order))
+        sides = [[n for _, _, x, n in order if x in ("c", own)][: int(fragments.leading(size, percent))] for own, size in (("a", a), ("b", b))]
+        assert set(zip(sides[0], sides[0][1:])) & set(zip(sides[1], sides[1][1:])), (percent, a, b)
+
+
+def lines_shared(documents=600, seed=4):
+    """Texts with five lines of eight words, each of which three texts have, among words of their own; some near copies."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    lines = [" ".join(word() for _ in range(8)) for _ in range(documents * 5 // 3)]
+    dealt = lines * 3
+    r.shuffle(dealt)
+    rows = []
+    for k in range(documents):
+        parts = [" ".join(word() for _ in range(40)) for _ in range(6)]
+        rows.append((k, "\n".join(x for pair in zip(parts, [*dealt[5 * k : 5 * k + 5], ""], strict=True) for x in pair)))
+    return rows + [(documents + k, f"{rows[k][1]} {word()} {word()}") for k in range(0, documents, 10)]
+
+
+def test_rare_lines_make_no_cluster(spark, monkeypatch):
+    """In a corpus too large for the sketch, lines of a few documents joined nearly all documents to one cluster, of which all pairs of cells were compared."""
+    monkeypatch.setattr(fragments, "SKETCH", 64)
+    docs = spark.createDataFrame(lines_shared(), "doc_id long, text string").repartition(3)
+    p = fragments.shards.plan(docs)
+    order = spark.sparkContext.broadcast(fragments.rarity(docs, 5))
+    sizes = components(fragments.candidates(fragments.prefixes(docs, p, order, 5, 80), 80)).groupBy("label").count().collect()
+    assert len(sizes) >= 60 and max(x["count"] for x in sizes) < 60
+
+
+@pytest.mark.parametrize("percent", [50, 79, 80, 93])
+def test_other_thresholds(spark, percent):
+    rows = corpus(6, groups=25, hot=40)
+    got = sorted((tuple(x) for x in fragments.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=percent).collect()), key=str)
+    assert got == brute(rows, percent)
