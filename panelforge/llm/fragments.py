@@ -361,7 +361,7 @@ class _Position:
         self.start = np.cumsum(self.size) - self.size
 
     def __call__(self, g: np.ndarray) -> np.ndarray:
-        c = self.classes[(g & np.uint64(SKETCH - 1)).astype(np.int64)]
+        c = self.classes[(g & np.uint64(len(self.classes) - 1)).astype(np.int64)]
         return self.start[c] + self.size[c] * (g >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 

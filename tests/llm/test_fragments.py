@@ -186,3 +186,18 @@ def test_other_thresholds(spark, percent):
     rows = corpus(6, groups=25, hot=40)
     got = sorted((tuple(x) for x in fragments.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=percent).collect()), key=str)
     assert got == brute(rows, percent)
+
+
+def test_pipeline_compares_no_cells_for_rare_lines(spark, monkeypatch):
+    """The pipeline's second stage: such a corpus has no cluster beyond a cell, and the near copies alone go."""
+    import corpus_pipeline
+
+    def large(*_):
+        raise AssertionError("a cluster beyond a cell")
+
+    monkeypatch.setattr(fragments, "SKETCH", 64)
+    monkeypatch.setattr(fragments, "CELL", 100)
+    monkeypatch.setattr(fragments, "_large", large)
+    rows = [(i, t, "en", "src", len(t)) for i, t in lines_shared()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()) == list(range(600))
