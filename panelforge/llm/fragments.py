@@ -127,9 +127,10 @@ def rarity(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, p: shards.Plan, classes, n: int, percent: int) -> DataFrame:
-    """(bucket, payload): the first n-grams of each set in the global order, or pairs of neighbours, by their names; with sets' names and sizes.
+    """(bucket, payload): the first n-grams of each set in the global order, or pairs of neighbours, by their names; with sets' names and sizes, and the name before in the set.
 
-    Five bytes of a name and sizes up to _MOST do here: they can but add candidates.
+    Five bytes of a name and sizes up to _MOST do here: they can but add candidates.  Of the name before, 0 if there is
+    none, five bytes are compared between two neighbours of a chain alone, so that they confuse one in 2^40 of those.
     """
     pairs = int(percent >= PAIRED)
 
@@ -151,41 +152,56 @@ def prefixes(docs: DataFrame, p: shards.Plan, classes, n: int, percent: int) ->
             at, row = K.spans(start, take), np.repeat(np.arange(len(rows)), take)
             g = g[order]
             g = K.mix(g[at] * np.uint64(0x9E3779B97F4A7C15) + g[at + 1]) if pairs else g[at]
+            before = np.roll(g, 1)
+            before[(np.cumsum(take) - take)[take > 0]] = 0
             bucket = ((g >> np.uint64(40)) % np.uint64(p.buckets)).astype(np.int64)
             order = np.lexsort((g & _SHORT, bucket))
-            g, row, bucket = g[order], row[order], bucket[order]
+            g, before, row, bucket = g[order], before[order], row[order], bucket[order]
             small = np.minimum(size, _MOST).astype(np.uint16)
             cut, out = K.runs(bucket), []
             for i, j in zip(cut[:-1], cut[1:], strict=True):
-                short = np.ascontiguousarray(g[i:j].view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").ravel()
-                out.append(K.pack(g=short, digest=digest[row[i:j]], size=small[row[i:j]]))
+                out.append(K.pack(g=_short(g[i:j]), before=_short(before[i:j]), digest=digest[row[i:j]], size=small[row[i:j]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int32()), pa.array(out, pa.binary())], ["bucket", "payload"])
 
     return docs.select("text").mapInArrow(run, "bucket int, payload binary")
 
 
+def _short(names: np.ndarray) -> np.ndarray:
+    """The low five bytes of each name."""
+    return np.ascontiguousarray(names.view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").ravel()
+
+
+def _long(short: np.ndarray) -> np.ndarray:
+    """Names of five bytes as numbers."""
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, :5] = short.view(np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
 def candidates(prefixed: DataFrame, percent: int) -> DataFrame:
-    """(a, b, asize, bsize): nodes that share a first n-gram or pair, each with the next larger one if the sizes allow a link.
+    """(a, b): nodes that share a first n-gram or pair, each with the next larger one if the sizes allow a link.
 
     In the order of sizes, nodes between two that may be linked may be linked with their neighbours, so these
-    chains connect all that may be linked, in proportion to the number of nodes.
+    chains connect all that may be linked, in proportion to the number of nodes.  Neighbours that share the name
+    before too are connected by that one's chain, where the same holds, down to the first name of a run that they
+    share.  So two near copies have a row for each such run, not one for each bucket that they meet in: buckets are as
+    many as the input is large.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        short, digest, size = K.unpack_all(table["payload"], ["V5", np.uint64, np.uint16])
-        wide = np.zeros((len(short), 8), np.uint8)
-        wide[:, :5] = short.view(np.uint8).reshape(-1, 5)
-        g = wide.view(np.uint64).ravel()
+        short, before, digest, size = K.unpack_all(table["payload"], ["V5", "V5", np.uint64, np.uint16])
+        g = _long(short)
         order = np.argsort(g, kind="stable")
-        g, digest, size = g[order], digest[order], size[order]
+        g, before, digest, size = g[order], before[order], digest[order], size[order]
         same = np.zeros(len(g), bool)
         same[1:] = g[1:] == g[:-1]
         same[:-1] |= same[1:]
-        g, digest, size = g[same], digest[same], size[same].astype(np.int64)
+        g, before, digest, size = g[same], _long(before[same]), digest[same], size[same].astype(np.int64)
         order = np.lexsort((digest, size, g))
-        g, digest, size = g[order], digest[order], size[order]
-        ok = np.flatnonzero((g[1:] == g[:-1]) & (digest[1:] != digest[:-1]) & (size[:-1] >= need(size[1:], percent)))
+        g, before, digest, size = g[order], before[order], digest[order], size[order]
+        told = (before[1:] == before[:-1]) & (before[1:] > 0)
+        ok = np.flatnonzero((g[1:] == g[:-1]) & (digest[1:] != digest[:-1]) & (size[:-1] >= need(size[1:], percent)) & ~told)
         pairs = np.unique(np.stack([digest[ok].view(np.int64), digest[ok + 1].view(np.int64)], 1), axis=0) if len(ok) else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 

@@ -201,3 +201,31 @@ def test_pipeline_compares_no_cells_for_rare_lines(spark, monkeypatch):
     rows = [(i, t, "en", "src", len(t)) for i, t in lines_shared()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()) == list(range(600))
+
+
+def test_pipeline_rows_of_candidates_whatever_the_buckets(spark, monkeypatch):
+    """The pipeline's second stage: two near copies had a row for each bucket that they met in, and buckets grow with the input."""
+    import corpus_pipeline
+
+    made, plain = [], fragments.candidates
+
+    def counted(*args):
+        out = fragments.shards.durable(plain(*args))
+        made.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(fragments, "candidates", counted)
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    rows = []
+    for k in range(150):
+        words = [word() for _ in range(200)]
+        at = r.randrange(200)
+        rows += [(k, " ".join(words)), (1000 + k, " ".join([*words[:at], word(), *words[at + 1 :]]))]
+    rows = [(i, t, "en", "src", len(t)) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for size in (1 << 30, 200):
+        monkeypatch.setattr(fragments.shards, "BUCKET", size)
+        assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()) == list(range(150))
+    # five n-grams of either part what the copies share into eleven runs at most
+    assert fragments.shards.plan(docs).buckets > 1000 and all(n <= 11 * 150 and pairs == 150 for n, pairs in made), made
